@@ -18,7 +18,7 @@ from trackloom.llm.tokens import FOLDER, token_count
 from trackloom.session import cut
 
 #: Rows that one bucket of a running sum holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 200_000
 
 
 def _hash(seed: int, *cols: Column) -> Column:
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     copies = copies.withColumn("finish", ((F.col("copy") - 1) * F.col("own") + F.col("up_to")) / F.col("share"))
     # no document beyond this time can be within the budget: by then some source alone, or all together, have used it up
     last = total.join(targets, "source").select((F.least(F.col("own") * F.col("repeats"), F.lit(budget)) / F.col("share")).alias("t")).agg(F.max("t")).first()[0]
-    steps = buckets * 64
+    steps = buckets * 8
     timed = copies.select("doc_id", "source", "copy", "tokens", "finish")
     order = [F.col("finish"), F.col("source"), F.col("doc_id"), F.col("copy")]
     placed_all = running_sum(timed, [], F.least(F.lit(steps), (F.col("finish") / F.lit(last) * steps)).cast("int"), order, "tokens", "total")

@@ -110,8 +110,8 @@ def draw(items: DataFrame, targets: DataFrame, fields: list[str], size: int | No
     targets: field, category, target_share, min_items, at most most_categories rows. Repeated rows of a key count once.
     Items with a null or unlisted category in any field are not drawn. size: number of items, by default fraction of
     those that can be drawn, and at least what the least numbers need. report: field, category, target_share,
-    min_items, available, drawn, actual_share, state: met, or exhausted where every item is drawn and the goal
-    isn't reached, absent where there is none, short where other fields' targets stand against it.
+    min_items, available, drawn, actual_share, state: met, exhausted where every item is drawn and the goal
+    isn't reached, absent where there is none, short or over where other fields' targets stand against it.
     """
     spark = items.sparkSession
     want = _targets(targets, fields, most_categories)
@@ -155,7 +155,8 @@ def draw(items: DataFrame, targets: DataFrame, fields: list[str], size: int | No
         whole = max(quota.sum(), 1)
         for i, name in enumerate(want[f]["category"]):
             goal = max(round(s[i] * size), low[i])
-            state = "absent" if there[i] == 0 else "met" if got[i] >= goal - 1 else "exhausted" if got[i] >= there[i] else "short"
+            near = max(1.0, 0.02 * goal)
+            state = "absent" if there[i] == 0 else "met" if abs(got[i] - goal) <= near else "over" if got[i] > goal else "exhausted" if got[i] >= there[i] else "short"
             rows.append((f, name, float(s[i]), int(low[i]), int(there[i]), int(got[i]), float(got[i] / whole), state))
     report = spark.createDataFrame(rows, "field string, category string, target_share double, min_items bigint, available bigint, drawn bigint, actual_share double, state string")
     return sample, report
