@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import mixing, pairs, quota, residue, runs, tokens, truncation
+from trackloom.llm import abuse, mixing, pairs, quota, residue, runs, tokens, truncation
 from trackloom.llm.sql import SQL as SQL
 from trackloom.tables import load
 
@@ -87,6 +87,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(docs, targets), docs, targets)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an offending passage."""
+    return abuse.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "doc_reviews")).where("offending").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return abuse.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "doc_reviews"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offending documents by source."""
+    return abuse.rates(load(spark, sf_dir, "documents"), load(spark, sf_dir, "doc_reviews"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
@@ -102,4 +117,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
