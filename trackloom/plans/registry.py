@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import training
+from trackloom.plans import events, training
 
-MODULES = [training]
-FLAGSHIP = training.p1_found
+MODULES = [events, training]
+FLAGSHIP = events.event_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
