@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import events, training
+from trackloom.plans import events, items, items_sql, training
 
-MODULES = [events, training]
+MODULES = [(events.QUERIES, events.SQL), (items.QUERIES, items_sql.SQL), (training.QUERIES, training.SQL)]
 FLAGSHIP = events.event_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for made, _ in MODULES for k, f in made.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.SQL.items()}
+    return {k: s for _, sql in MODULES for k, s in sql.items()}
