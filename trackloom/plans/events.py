@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom import vocab as V
 from trackloom.operators import events as E
 from trackloom.operators import frames as R
+from trackloom.operators.ranking import ordinal
 from trackloom.plans import sqltext as T
 from trackloom.session import cut
 from trackloom.tables import load
@@ -216,7 +217,7 @@ def percentile_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Score thresholds at the positions int(n * 0.30) and int(n * 0.75) of the ordered scores, and videos by tier."""
     v = video_verdict(spark, d).select("video_id", "score")
     n = v.agg(F.count(F.lit(1)).alias("n"))
-    ranked = v.withColumn("r", F.row_number().over(Window.orderBy("score", "video_id")) - 1)
+    ranked = ordinal(v, [F.col("score"), F.col("video_id")], "r")
     cut = ranked.join(F.broadcast(n)).agg(F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.30), F.col("score"))).alias("p30"), F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.75), F.col("score"))).alias("p75"))
     tier = F.when(F.col("score") < F.col("p30"), "easy").when(F.col("score") < F.col("p75"), "medium").otherwise("hard")
     return v.join(F.broadcast(cut)).withColumn("tier", tier).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))

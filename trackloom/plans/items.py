@@ -10,6 +10,7 @@ from trackloom.functions import answers as A
 from trackloom.functions.labels import label_parts
 from trackloom.functions.text import key_text
 from trackloom.operators import frames as R
+from trackloom.operators.ranking import ordinal
 from trackloom.tables import load
 
 
@@ -254,7 +255,7 @@ def resume_todo(spark: SparkSession, d: str) -> DataFrame:
 def shard_slice(spark: SparkSession, d: str, shards: int = 4) -> DataFrame:
     i = _items(spark, d).select("qa_id")
     n = i.agg(F.count(F.lit(1)).alias("n"))
-    r = i.withColumn("r", F.row_number().over(Window.orderBy("qa_id")) - 1).join(F.broadcast(n))
+    r = ordinal(i, [F.col("qa_id")], "r").join(F.broadcast(n))
     return r.select("qa_id", F.floor(F.col("r") / F.ceil(F.col("n") / shards)).cast("int").alias("shard"))
 
 
