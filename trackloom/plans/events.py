@@ -22,9 +22,9 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
     return R.frames(_docs(spark, d))
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    """All events, written once to the shared folder: far smaller than the frames, and read several times below."""
-    return cut(E.all_events(load(spark, d, "tracks")))
+def _events(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
+    """All events (or those already made), written once to the shared folder: far smaller than the frames, and read several times below."""
+    return made if made is not None else cut(E.all_events(load(spark, d, "tracks")))
 
 
 def event_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +97,12 @@ def asof_prev_event(spark: SparkSession, d: str) -> DataFrame:
     return _last_hidden(_events(spark, d)).select("video_id", "obj_id", "event_id", "cause", F.col("s").alias("start_frame"), F.col("e").alias("end_frame"))
 
 
-def identity_candidates(spark: SparkSession, d: str) -> DataFrame:
+def identity_candidates(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """Siblings that could be mistaken for a returning object: same noun, visible while it was hidden, elsewhere when it returns."""
     from trackloom.functions.labels import label_parts
 
     f = _frames(spark, d)
-    hidden = _last_hidden(_events(spark, d)).where(F.col("e") - F.col("s") >= V.SIBLING_HIDDEN_S * V.FPS)
+    hidden = _last_hidden(_events(spark, d, made)).where(F.col("e") - F.col("s") >= V.SIBLING_HIDDEN_S * V.FPS)
     names = R.objects(_docs(spark, d)).select("video_id", "obj_id", label_parts(F.col("label")).alias("p")).select("video_id", "obj_id", F.col("p.base").alias("base"), F.col("p.modifiers").alias("mods"))
     sib = names.select("video_id", F.col("obj_id").alias("sib"), "base", F.col("mods").alias("sib_mods"))
     pair = hidden.join(names, ["video_id", "obj_id"]).join(sib, ["video_id", "base"]).where("sib <> obj_id and mods <> sib_mods and base <> ''")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import events, items, items_sql, training, units
+from trackloom.plans import events, items, items_sql, selected, training, units
 
-MODULES = [(events.QUERIES, events.SQL), (items.QUERIES, items_sql.SQL), (units.QUERIES, units.SQL), (training.QUERIES, training.SQL)]
+MODULES = [(events.QUERIES, events.SQL), (items.QUERIES, items_sql.SQL), (units.QUERIES, units.SQL), (selected.QUERIES, selected.SQL), (training.QUERIES, training.SQL)]
 FLAGSHIP = events.event_counts
 
 

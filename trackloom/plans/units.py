@@ -20,29 +20,29 @@ from trackloom.tables import load
 _OBJ = ["video_id", "obj_id"]
 
 
-def _own(spark: SparkSession, d: str) -> DataFrame:
-    return E.own(_events(spark, d)).where("type <> 'state_change'")
+def _own(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
+    return E.own(_events(spark, d, made)).where("type <> 'state_change'")
 
 
-def unit_temporal_location(spark: SparkSession, d: str) -> DataFrame:
+def unit_temporal_location(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """An event type that occurs once, or first and last of two; more often it would be ambiguous."""
-    e = _own(spark, d).where((F.col("n_video") > 1) & ~holds(F.col("label"), "temporal"))
+    e = _own(spark, d, made).where((F.col("n_video") > 1) & ~holds(F.col("label"), "temporal"))
     w = Window.partitionBy(*_OBJ, "type")
     e = e.withColumn("k", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy("mid", "event_id"))).where("k <= 2")
     prefix = F.when(F.col("k") == 2, F.when(F.col("r") == 1, "first").otherwise("last"))
     return e.select(*_OBJ, F.col("type").alias("event_type"), "event_id", prefix.alias("prefix"), F.col("temporal_position").alias("bucket"))
 
 
-def unit_duration_category(spark: SparkSession, d: str) -> DataFrame:
+def unit_duration_category(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """Ranges of at least .3 s whose instances all fall in one bucket; the first is the anchor."""
-    e = E.touching(_events(spark, d)).where("type in ('full_occlusion', 'partial_occlusion', 'exit_frame', 'interaction')")
+    e = E.touching(_events(spark, d, made)).where("type in ('full_occlusion', 'partial_occlusion', 'exit_frame', 'interaction')")
     s = e.withColumn("s", (F.col("end") - F.col("start")) / V.FPS).where("s >= 0.3")
     b = s.withColumn("bucket", R.bucket(F.col("s"), V.DURATION_BUCKETS))
     g = b.groupBy(*_OBJ, F.col("type").alias("event_type")).agg(F.countDistinct("bucket").alias("k"), F.min("event_id").alias("event_id"), F.min_by("bucket", "event_id").alias("bucket"), F.round(F.min_by("s", "event_id"), 2).alias("seconds"))
     return g.where("k = 1").drop("k")
 
 
-def unit_spatial_change(spark: SparkSession, d: str) -> DataFrame:
+def unit_spatial_change(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """Where an object went between its first and last visible box, unless that is ambiguous."""
     v = F.when(F.col("visible"), F.col("frame"))
     f = _frames(spark, d).where(~holds(F.col("label"), "spatial"))
@@ -60,9 +60,9 @@ def unit_spatial_change(spark: SparkSession, d: str) -> DataFrame:
     return g.select(*_OBJ, answer.alias("answer"), F.round("ratio", 6).alias("ratio")).where("answer is not null")
 
 
-def unit_existence(spark: SparkSession, d: str) -> DataFrame:
+def unit_existence(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """Types an object has (yes), and the first by name that its video has and it lacks (no)."""
-    e = _own(spark, d)
+    e = _own(spark, d, made)
     yes = e.select(*_OBJ, F.col("type").alias("event_type")).distinct()
     of = yes.groupBy("video_id").agg(F.collect_set("event_type").alias("video_types"))
     objs = R.objects(_docs(spark, d)).select(*_OBJ)
@@ -71,8 +71,8 @@ def unit_existence(spark: SparkSession, d: str) -> DataFrame:
     return yes.withColumn("polarity", F.lit("yes")).unionByName(no.withColumn("polarity", F.lit("no")))
 
 
-def unit_mechanism(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
+def unit_mechanism(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
+    e = _events(spark, d, made)
     one = lambda df: df.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(*_OBJ))).where("k = 1")
     how = F.when(F.col("cause") == "full_occlusion", "fully blocked").otherwise("left the frame")
     single = one(E.own(e).where("type = 'reappear'")).select(*_OBJ, "event_id")
@@ -81,15 +81,15 @@ def unit_mechanism(spark: SparkSession, d: str) -> DataFrame:
     return back.unionByName(gone)
 
 
-def unit_count(spark: SparkSession, d: str) -> DataFrame:
-    e = E.own(_events(spark, d)).where(F.col("type").isin("full_occlusion", "partial_occlusion", "reappear", "state_change") & ~holds(F.col("label"), "temporal", "count"))
+def unit_count(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
+    e = E.own(_events(spark, d, made)).where(F.col("type").isin("full_occlusion", "partial_occlusion", "reappear", "state_change") & ~holds(F.col("label"), "temporal", "count"))
     g = e.groupBy(*_OBJ, F.col("type").alias("event_type")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     return g.withColumn("answer", F.when(F.col("n") <= 4, F.col("n").cast("string")).otherwise("5 or more"))
 
 
-def unit_ordering(spark: SparkSession, d: str) -> DataFrame:
+def unit_ordering(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """The earliest events of at least three types, all at least .5 s apart; four of them where there are four."""
-    e = _own(spark, d).where(~holds(F.col("label"), "temporal"))
+    e = _own(spark, d, made).where(~holds(F.col("label"), "temporal"))
     first = e.groupBy(*_OBJ, "type").agg(F.min(F.struct("mid", "event_id")).alias("m")).select(*_OBJ, "type", "m.mid", "m.event_id")
     w = Window.partitionBy(*_OBJ)
     s = first.withColumn("r", F.row_number().over(w.orderBy("mid", "event_id"))).withColumn("gap", F.col("mid") - F.lag("mid").over(w.orderBy("mid", "event_id"))).withColumn("k", F.count(F.lit(1)).over(w)).withColumn("least", F.min("gap").over(w))
@@ -97,8 +97,8 @@ def unit_ordering(spark: SparkSession, d: str) -> DataFrame:
     return g
 
 
-def unit_identity(spark: SparkSession, d: str) -> DataFrame:
-    c = identity_candidates(spark, d)
+def unit_identity(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
+    c = identity_candidates(spark, d, made)
     return c.select("video_id", "obj_id", "sibling", F.col("event_id").alias("reappear_event_id"), F.lit("the same one").alias("answer"))
 
 
@@ -116,10 +116,10 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return o.select("video_id", "obj_id", "track_ord", "label", F.col("p.base").alias("base"))
 
 
-def unit_conditional_state(spark: SparkSession, d: str) -> DataFrame:
+def unit_conditional_state(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """State of another object (first in track order with another noun) at the anchor event of an object."""
     rank = F.expr("array_position(array('appear', 'reappear', 'disappear', 'exit_frame', 'enter_frame', 'full_occlusion'), type)")
-    e = E.own(_events(spark, d)).withColumn("rank", rank).where("rank > 0")
+    e = E.own(_events(spark, d, made)).withColumn("rank", rank).where("rank > 0")
     anchor = e.groupBy(*_OBJ).agg(F.min(F.struct(F.col("rank"), (-F.col("event_id")).alias("o"), F.col("mid"), F.col("type"))).alias("a")).select(*_OBJ, F.col("a.mid").alias("anchor_frame"), F.col("a.type").alias("anchor_type"))
     n = _names(spark, d)
     b = n.select("video_id", F.col("obj_id").alias("partner"), F.col("track_ord").alias("t"), F.col("base").alias("b"))
@@ -137,9 +137,9 @@ def unit_conditional_state(spark: SparkSession, d: str) -> DataFrame:
     return one.select(*_OBJ, "anchor_type", "anchor_frame", "partner", "answer")
 
 
-def unit_cross_order(spark: SparkSession, d: str) -> DataFrame:
+def unit_cross_order(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """First pair of events, a second or more apart, of two objects with different nouns."""
-    e = _own(spark, d).where(~holds(F.col("label"), "temporal")).join(_names(spark, d).select("video_id", "obj_id", "base"), _OBJ)
+    e = _own(spark, d, made).where(~holds(F.col("label"), "temporal")).join(_names(spark, d).select("video_id", "obj_id", "base"), _OBJ)
     a, b = (e.select("video_id", *(F.col(c).alias(f"{k}_{c}") for c in ("obj_id", "base", "event_id", "mid"))) for k in "ab")
     p = a.join(b, "video_id").where(f"b_obj_id > a_obj_id and not (a_base <> '' and a_base = b_base) and abs(a_mid - b_mid) >= {V.FPS}")
     g = p.groupBy("video_id", F.col("a_obj_id").alias("obj_a"), F.col("b_obj_id").alias("obj_b")).agg(F.min(F.struct("a_event_id", "b_event_id", "a_mid", "b_mid")).alias("m"))
@@ -148,8 +148,9 @@ def unit_cross_order(spark: SparkSession, d: str) -> DataFrame:
 
 def units_by_dim(spark: SparkSession, d: str) -> DataFrame:
     """Units of every dimension in one table, counted."""
-    made = [q(spark, d).select("video_id", F.lit(n).alias("dim")) for n, q in (("temporal_location", unit_temporal_location), ("duration_category", unit_duration_category), ("relative_spatial_change", unit_spatial_change), ("event_existence", unit_existence), ("reappear_or_disappear", unit_mechanism), ("event_count", unit_count), ("event_ordering", unit_ordering), ("reappear_identity", unit_identity), ("conditional_state", unit_conditional_state), ("cross_object_order", unit_cross_order))]
-    return reduce(DataFrame.unionByName, made).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("video_id").alias("videos"))
+    events = _events(spark, d)
+    parts = [q(spark, d, events).select("video_id", F.lit(n).alias("dim")) for n, q in (("temporal_location", unit_temporal_location), ("duration_category", unit_duration_category), ("relative_spatial_change", unit_spatial_change), ("event_existence", unit_existence), ("reappear_or_disappear", unit_mechanism), ("event_count", unit_count), ("event_ordering", unit_ordering), ("reappear_identity", unit_identity), ("conditional_state", unit_conditional_state), ("cross_object_order", unit_cross_order))]
+    return reduce(DataFrame.unionByName, parts).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("video_id").alias("videos"))
 
 
 def ref_expr_features(spark: SparkSession, d: str) -> DataFrame:
