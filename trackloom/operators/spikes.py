@@ -260,7 +260,8 @@ def flag_readings(tracks: DataFrame) -> DataFrame:
     limits = cut(limits)
     if limits.count() <= MOST_BROADCAST:
         limits = F.broadcast(limits)
-    joined = seq.join(limits, seq["source"].eqNullSafe(F.col("of"))).drop("of", "source")
+    # a source without two neighbouring good readings has no limits: only impossible readings are flagged there
+    joined = seq.join(limits, seq["source"].eqNullSafe(F.col("of")), "left").drop("of", "source").na.fill(float("inf"), ["usual_step", "usual_area", "longest_rest"])
     return joined.mapInArrow(_flag, FLAGGED).distinct()
 
 
