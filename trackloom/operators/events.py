@@ -67,7 +67,7 @@ def object_events(s: DataFrame) -> DataFrame:
 
 def pair_frames(f: DataFrame) -> DataFrame:
     """Pairs of objects of a video (in track order) at the frames where both are visible: a_*, b_* columns."""
-    cols = ["track_ord", "obj_id", "label", "x1", "y1", "x2", "y2"]
+    cols = ["track_ord", "obj_id", "label", "n_obj", "x1", "y1", "x2", "y2"]
     shown = f.where("visible")
     a = shown.select("video_id", "frame", "width", "height", "n_video", *(F.col(c).alias(f"a_{c}") for c in cols))
     b = shown.select("video_id", "frame", *(F.col(c).alias(f"b_{c}") for c in cols))
@@ -76,16 +76,13 @@ def pair_frames(f: DataFrame) -> DataFrame:
 
 def interactions(f: DataFrame) -> DataFrame:
     """Stretches of overlapping boxes of two objects, as EVENT columns (detail: mean overlap) with b_label."""
-    length = f.groupBy("video_id", "obj_id").agg(F.count(F.lit(1)).alias("n"))
     over = pair_frames(f).withColumn("iou", iou("a_", "b_")).where(f"iou > {V.OVERLAP_IOU}")
     pair = Window.partitionBy("video_id", "a_obj_id", "b_obj_id").orderBy("frame")
     island = over.withColumn("island", F.col("frame") - F.row_number().over(pair))
     runs = island.groupBy("video_id", "a_obj_id", "b_obj_id", "island").agg(
-        *(F.first(c).alias(c) for c in ("a_track_ord", "b_track_ord", "a_label", "b_label", "n_video")), F.min("frame").alias("start"), F.max("frame").alias("end"), F.count(F.lit(1)).alias("n"), F.avg("iou").alias("iou")
+        *(F.first(c).alias(c) for c in ("a_track_ord", "b_track_ord", "a_label", "b_label", "a_n_obj", "b_n_obj", "n_video")), F.min("frame").alias("start"), F.max("frame").alias("end"), F.count(F.lit(1)).alias("n"), F.avg("iou").alias("iou")
     )
-    la = length.select("video_id", F.col("obj_id").alias("a_obj_id"), F.col("n").alias("n_a"))
-    lb = length.select("video_id", F.col("obj_id").alias("b_obj_id"), F.col("n").alias("n_b"))
-    kept = runs.join(la, ["video_id", "a_obj_id"]).join(lb, ["video_id", "b_obj_id"]).where((F.col("n") >= V.MIN_OVERLAP) & (F.col("n") / F.least("n_a", "n_b") <= V.MAX_OVERLAP_SHARE))
+    kept = runs.where((F.col("n") >= V.MIN_OVERLAP) & (F.col("n") / F.least("a_n_obj", "b_n_obj") <= V.MAX_OVERLAP_SHARE))
     return kept.select(
         "video_id", F.lit("interaction").alias("type"), F.col("a_obj_id").alias("obj_id"), F.col("b_obj_id").alias("other"), F.lit(None).cast("int").alias("frame"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
         F.col("a_track_ord").alias("track_ord"), (F.lit(2 * 10**9) + F.col("b_track_ord") * 100_000 + F.col("start")).cast("long").alias("emit"), "n_video", F.col("a_label").alias("label"), F.lit(None).cast("string").alias("after_event"), F.col("iou").alias("detail"), "b_label",

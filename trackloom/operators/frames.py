@@ -27,12 +27,12 @@ def objects(docs: DataFrame) -> DataFrame:
 
 
 def frames(docs: DataFrame) -> DataFrame:
-    """One row per object and frame: frame, x1..y2, visible, confidence, area."""
+    """One row per object and frame: frame, x1..y2, visible, confidence, area; n_obj is the number of frames of the object."""
     zipped = F.explode(F.arrays_zip("frames", "bboxes", "visible", "confidence", "mask_areas")).alias("r")
-    one = objects(docs).select("video_id", "width", "height", "n_video", "track_ord", "obj_id", "label", zipped)
+    one = objects(docs).select("video_id", "width", "height", "n_video", "track_ord", "obj_id", "label", F.size("frames").alias("n_obj"), zipped)
     box = F.col("r.bboxes")
     return one.select(
-        "video_id", "width", "height", "n_video", "track_ord", "obj_id", "label", F.col("r.frames").alias("frame"),
+        "video_id", "width", "height", "n_video", "track_ord", "obj_id", "label", "n_obj", F.col("r.frames").alias("frame"),
         *(F.get(box, F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))),
         F.col("r.visible").alias("visible"), F.col("r.confidence").alias("confidence"), F.col("r.mask_areas").alias("area"),
     ).where("frame is not null")
