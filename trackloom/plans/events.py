@@ -258,7 +258,7 @@ _VERDICT = T.TOUCHING + f""", counts AS (SELECT video_id, {_COUNTS} FROM events_
         full_occlusion * 5 + reappear * 5 + partial_occlusion * 3 + exit_frame * 3 + enter_frame * 3 + appear * 2 + disappear * 2 + state_change + interaction * 3 + n_objects
         + CASE WHEN full_occlusion > 0 AND reappear > 0 THEN 10 ELSE 0 END + CASE WHEN exit_frame > 0 AND (enter_frame > 0 OR reappear > 0) THEN 5 ELSE 0 END AS score FROM joined)"""
 SQL = {
-    "event_counts": T.EVENTS + "SELECT type, count(*) AS n, sum(first_frame) AS frames FROM events_of GROUP BY type",
+    "event_counts": T.EVENTS + "SELECT type, count(*) AS n, sum(first_frame)::BIGINT AS frames FROM events_of GROUP BY type",
     "rolling_baseline": "WITH " + T.STATES + "SELECT video_id, obj_id, frame, area, baseline, state FROM states",
     "frame_state_runs": "WITH " + T.RUNS + "SELECT video_id, obj_id, state, s AS start_frame, e AS end_frame, n FROM runs",
     "detected_events": T.EVENTS + "SELECT video_id, event_id, type, obj_id, other, frame, s AS start_frame, e AS end_frame, temporal_position, after_event, round(detail, 6) AS detail FROM events_of",
