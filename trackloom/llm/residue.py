@@ -2,13 +2,14 @@
 
 Method: a regularised linear classifier on hashed n-grams, length and title features. Its labels are weak: phrases of
 response statuses, placeholders and fillers. It is trained on a bounded sample of labelled texts (and on clean ones into which
-known residue was put, so that small tables teach as much as large ones), validated on videos it never saw,
-and scores every text of every item where it lies, without a shuffle. An exact check follows: a text that scores
-high enough must also show a sign of residue in its own characters.
+residue was put, both seeds and what the phrases matched, so that small tables teach as much as large ones). A fifth of the videos is
+held out: they set the cutoff and validate it. The classifier alone decides; the phrases are used for training only. Every text of every item is
+scored where it lies, without a shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ PHRASES = [
 ]
 ANY = "|".join(f"(?:{p})" for p in PHRASES)
 
-#: Residue put into clean texts for training: whole or appended lines, and what stands in place of a word.
+#: Seeds of residue put into clean texts for training: whole or appended lines, and what stands in place of a word.
 LINES = [
     "404 Not Found", "403 Forbidden", "502 Bad Gateway", "503 Service Unavailable", "Error 429: too many requests", "Internal Server Error", "Access denied. You do not have permission to view this page.",
     "The page you requested could not be found.", "Something went wrong. Please try again later.", "Your session has expired, please sign in again.", "This service is down for maintenance.",
@@ -48,12 +49,17 @@ FORMS = ["{{%s}}", "{{ %s }}", "${%s}", "{%s}", "{0}", "<%% %s %%>", "{%% %s %%}
 
 BITS = 18
 SHAPES = [(0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 1, 2, 3, 4)]
-#: Most labelled texts of either class that the training sample holds, and its share of videos kept for validation.
+#: Most labelled texts of either class that the training sample holds, and the part of the videos kept for validation.
 MOST_A_CLASS = 6000
 HELD_OUT = 5
 #: Texts are scored in pieces of so many characters (with overlap), so that a long text can't drown its residue.
 PIECE, OVERLAP = 400, 80
-CUTOFF = 0.2
+EPOCHS, L2 = 8, 2e-5
+#: Ends of a piece, which no text holds; only the ends of a whole text are marked.
+START, END = "\x02", "\x03"
+#: Texts whose scores a task keeps, since options are few and come again and again.
+HELD = 100_000
+_SHAPE = str.maketrans({**{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "0" for c in "0123456789"}})
 
 
 def _slot(rng: np.random.Generator) -> str:
@@ -63,8 +69,8 @@ def _slot(rng: np.random.Generator) -> str:
     return form % name if form.count("%s") - form.count("%%s") == 1 else form.replace("%%", "%")
 
 
-def spoiled(clean: list[str], n: int, seed: int = 3) -> list[str]:
-    """n texts with residue: a line alone or after a clean text, or a slot in place of a word."""
+def spoiled(clean: list[str], n: int, seed: int = 3, known: list[str] | None = None) -> list[str]:
+    """n texts with residue: a line alone or after a clean text, or a slot in place of a word. known: what phrases matched elsewhere."""
     rng = np.random.default_rng(seed)
     clean = clean or ["text"]
     out = []
@@ -77,122 +83,166 @@ def spoiled(clean: list[str], n: int, seed: int = 3) -> list[str]:
         elif i % 4 == 1:
             new = f"{text.rstrip('?. ')} {line}"
         else:
-            words[rng.integers(len(words))] = _slot(rng)
+            words[rng.integers(len(words))] = known[rng.integers(len(known))] if known and i % 4 == 3 else _slot(rng)
             new = " ".join(words)
         out.append(new.upper() if rng.random() < 0.1 else new.lower() if rng.random() < 0.1 else new)
     return out
 
 
 def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Overlapping pieces of the texts, and the text each is of; the first starts and the last ends with a mark."""
     parts, of = [], []
     for i, t in enumerate(texts):
+        t = f"{START}{t.strip()}{END}"
         for a in range(0, max(1, len(t) - OVERLAP), PIECE - OVERLAP):
             parts.append(t[a : a + PIECE])
             of.append(i)
     return parts, np.array(of, np.int64)
 
 
-def features(texts: list[str]) -> grams.Grams:
-    """n-grams in lower case with weight 1 / root of their number, and one gram each for length, first letter, case and end."""
-    g = grams.hashed([t.lower() for t in texts], SHAPES, BITS)
-    weight = g.weight / np.sqrt(np.maximum(np.bincount(g.text, minlength=g.texts), 1))[g.text] * 3
+def features(parts: list[str]) -> grams.Grams:
+    """Each piece's set of n-grams (in lower case, and of the shape: letters and digits as A, a, 0), its words, and one
+    gram each for length, first letter, case, end and number of words. Weights are 1: a little residue counts in a long piece too."""
+    low = grams.hashed([p.lower() for p in parts], SHAPES, BITS)
+    shape = grams.hashed([p.translate(_SHAPE) for p in parts], SHAPES[1:], BITS)
     extra, owner = [], []
-    for i, t in enumerate(texts):
-        s = t.strip()
-        for k, v in (("length", int(np.log2(len(s) + 1))), ("first", "u" if s[:1].isupper() else "l" if s[:1].islower() else "o"), ("case", s.isupper()), ("end", s[-1:] if not s[-1:].isalnum() else "w"), ("words", min(len(s.split()), 12))):
-            extra.append(hash_name(f"{k}={v}"))
-            owner.append(i)
-    ids, text = np.concatenate([g.ids, np.array(extra, np.int64)]), np.concatenate([g.text, np.array(owner, np.int64)])
-    value = np.concatenate([weight, np.full(len(extra), 0.5)])
-    order = np.argsort(text, kind="stable")
-    return grams.Grams(ids[order], text[order], value[order], len(texts))
+    for i, t in enumerate(parts):
+        s = t.strip(START + END + " ")
+        words = t.lower().split()
+        own = [f"length={int(np.log2(len(s) + 1))}", f"first={'u' if s[:1].isupper() else 'l' if s[:1].islower() else 'o'}", f"case={s.isupper()}", f"end={s[-1:] if not s[-1:].isalnum() else 'w'}", f"words={min(len(words), 12)}"]
+        own += [f"w={w}" for w in words] + [f"p={a} {b}" for a, b in zip(words, words[1:])]
+        extra += map(hash_name, own)
+        owner += [i] * len(own)
+    salt = np.int64(0x15A5A)
+    ids = np.concatenate([low.ids, shape.ids ^ salt, np.array(extra, np.int64)])
+    text = np.concatenate([low.text, shape.text, np.array(owner, np.int64)])
+    both = np.unique((text << BITS) | ids)
+    return grams.Grams(both & ((1 << BITS) - 1), both >> BITS, np.ones(len(both)), len(parts))
 
 
 def hash_name(name: str) -> int:
-    h = 1469598103934665603
-    for c in name.encode():
-        h = (h ^ c) * 1099511628211 % (1 << 64)
-    return h >> (64 - BITS)
+    return zlib.crc32(name.encode()) >> (32 - BITS)
 
 
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
+    cutoff: float = 0.5
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Probability of residue; that of a text's worst piece."""
-        if not texts:
-            return np.zeros(0)
-        parts, of = _pieces(texts)
-        p = 1 / (1 + np.exp(-np.clip(grams.project(features(parts), self.weights) + self.bias, -30, 30)))
+        """Probability of residue; that of a text's worst piece. 0 for blank texts."""
         out = np.zeros(len(texts))
-        np.maximum.at(out, of, p)
+        at = [i for i, t in enumerate(texts) if t and not t.isspace()]
+        for k in range(0, len(at), 512):
+            parts, of = _pieces([texts[i] for i in at[k : k + 512]])
+            p = 1 / (1 + np.exp(-np.clip(grams.project(features(parts), self.weights) + self.bias, -30, 30)))
+            np.maximum.at(out, np.array(at[k : k + 512])[of], p)
         return out
 
 
 def texts_of(items: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """qa_id, video_id, text and weak label (1 residue, 0 clean and verified, null unclear) of every filled field."""
-    one = items.select("qa_id", "video_id", "verification_passed", F.explode(F.array(*fields)).alias("text")).where("text is not null")
     label = F.when(F.col("text").rlike(ANY), 1).when(F.coalesce("verification_passed", F.lit(True)), 0)
-    return one.select("qa_id", F.coalesce("video_id", F.lit("")).alias("video_id"), "text", label.alias("label"), (F.pmod(F.xxhash64("video_id"), F.lit(HELD_OUT)) == 0).alias("held_out"))
+    return _filled(items, fields).withColumn("label", label)
+
+
+def _filled(items: DataFrame, fields: list[str]) -> DataFrame:
+    """qa_id, video_id, verification_passed, text, held_out of every field that isn't blank."""
+    one = items.select("qa_id", F.coalesce("video_id", F.lit("")).alias("video_id"), "verification_passed", F.explode(F.array(*fields)).alias("text")).where("trim(text) <> ''")
+    return one.withColumn("held_out", F.pmod(F.xxhash64("video_id"), F.lit(HELD_OUT)) == 0)
 
 
-def _sample(texts: DataFrame, most: int) -> pd.DataFrame:
-    """At most `most` rows of each label, those with the smallest hashes: distinct texts with residue, clean ones as often as they come."""
-    dirty = texts.where("label = 1").select("text", "label").distinct().orderBy(F.xxhash64("text"), "text")
-    clean = texts.where("label = 0").orderBy(F.xxhash64("qa_id", "text"), "text").select("text", "label")
+def _sample(items: DataFrame, fields: list[str], most: int) -> pd.DataFrame:
+    """text, label, held_out, found: at most `most` labelled texts of each class, those with the smallest hashes. Residue is rare, so every text is
+    looked at for it; of the clean ones only a share is (about four times as many as wanted, by hash), which spares the phrases' cost."""
+    texts = _filled(items, fields)
+    n = texts.count()
+    share = min(1.0, 4.0 * most / max(n, 1))
+    h = F.xxhash64("qa_id", "text")
+    few = texts.where(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    clean = few.where(~F.col("text").rlike(ANY) & F.coalesce("verification_passed", F.lit(True))).orderBy(h, "text").select("text", F.lit(0).alias("label"), "held_out", F.lit(None).cast("string").alias("found"))
+    dirty = texts.where(F.col("text").rlike(ANY)).select("text", F.lit(1).alias("label"), "held_out", F.trim(F.regexp_extract("text", f"({ANY})", 1)).alias("found")).distinct().orderBy(F.xxhash64("text"), "text", "held_out")
     return pd.concat([x.limit(most).toPandas() for x in (clean, dirty)])
 
 
-def train(items: DataFrame, most: int = MOST_A_CLASS, fields: list[str] = FIELDS) -> Model:
-    """Fitted on at most `most` texts of each class, none of a held-out video, and as many spoiled ones."""
-    rows = _sample(texts_of(items, fields).where("not held_out"), most)
-    clean = rows.loc[rows["label"] == 0, "text"].tolist()
-    dirty = rows.loc[rows["label"] == 1, "text"].tolist() + spoiled(clean, most)
-    texts = clean + dirty
-    label = np.repeat([0.0, 1.0], [len(clean), len(dirty)])
+def _fit(clean: list[str], dirty: list[str]) -> Model:
+    texts, label = clean + dirty, np.repeat([0.0, 1.0], [len(clean), len(dirty)])
     parts, of = _pieces(texts)
-    whole = np.bincount(of, minlength=len(texts))[of] == 1  # residue may be in any piece of a long text
-    parts, y = [p for p, w in zip(parts, whole) if w], label[of][whole]
+    y = label[of]
+    # residue may be in any piece of a long text: such pieces of a text with residue teach nothing
+    several = (np.bincount(of, minlength=len(texts)) > 1)[of] & (y > 0)
+    parts, y = [p for p, s in zip(parts, several) if not s], y[~several]
+    if not len(y):
+        return Model(np.zeros(1 << BITS), -30.0)
     g = features(parts)
-    epochs = int(np.clip(150_000 // max(len(y), 1), 10, 60))  # small samples are seen more often
-    return Model(*grams.logistic(g.ids, g.text, g.weight, y, BITS, epochs=epochs))
+    w, bias = grams.logistic(g.ids, g.text, g.weight, y, BITS, l2=L2, epochs=EPOCHS, rate=0.1)
+    return Model(w, bias)
+
+
+def best_cutoff(p: np.ndarray, label: np.ndarray) -> float:
+    """The middle (in log odds) of the widest stretch of cutoffs with the best F1; 0.5 if a class is missing."""
+    if label.min(initial=1) == 1 or label.max(initial=0) == 0:
+        return 0.5
+    z = np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
+    order = np.argsort(-z)
+    right = np.cumsum(label[order])
+    f1 = 2 * right / (np.arange(1, len(z) + 1) + label.sum())
+    s = z[order]
+    gap = s - np.append(s[1:], s[-1] - 1)
+    ok = np.flatnonzero((f1 >= f1[gap > 0].max() - 1e-12) & (gap > 0))
+    i = ok[np.argmax(gap[ok])]
+    return float(1 / (1 + np.exp(-(s[i] - gap[i] / 2))))
+
+
+def train(items: DataFrame, most: int = MOST_A_CLASS, fields: list[str] = FIELDS) -> Model:
+    """Fitted on at most `most` texts of each class and as many spoiled ones, none of a held-out video; those set the cutoff."""
+    rows = _sample(items, fields, most)
+    part = lambda label, held: rows.loc[(rows["label"] == label) & (rows["held_out"] == held), "text"].tolist()
+    known = [x for x in rows.loc[(rows["label"] == 1) & ~rows["held_out"].astype(bool), "found"].dropna().tolist() if x and len(x) < 60 and " " not in x.strip()]
+    clean, dirty = part(0, False), part(1, False)
+    model = _fit(clean, dirty + spoiled(clean, most, known=known))
+    clean, dirty = part(0, True), part(1, True)
+    dirty = dirty + spoiled(clean, len(clean) // 10, seed=4)
+    if clean:
+        model.cutoff = best_cutoff(model.score(clean + dirty), np.repeat([0, 1], [len(clean), len(dirty)]))
+    return model
 
 
 def score(model: Model, text: Column) -> Column:
-    """Probability that the text holds residue; 0 for null."""
+    """Probability that the text holds residue; 0 for null and blank texts."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held: dict[str, float] = {}
         for texts in batches:
-            there = texts.notna().to_numpy()
-            out = np.zeros(len(texts))
-            out[there] = model.score(texts[there].tolist())
-            yield pd.Series(out)
+            new = [t for t in texts.dropna().unique() if t not in held]
+            if len(held) + len(new) > HELD:
+                held.clear()
+                new = list(texts.dropna().unique())
+            held.update(zip(new, model.score(new)))
+            yield texts.map(held).fillna(0.0).astype(float)
 
     return F.pandas_udf(run, "double")(text)
 
 
-def scored(items: DataFrame, model: Model | None = None, cutoff: float = CUTOFF, fields: list[str] = FIELDS) -> DataFrame:
+def scored(items: DataFrame, model: Model | None = None, cutoff: float | None = None, fields: list[str] = FIELDS) -> DataFrame:
     """items with p_<field> and residue (boolean). Null and blank texts are no residue; repeated rows stay repeated."""
     model = model or train(items, fields=fields)
+    cutoff = model.cutoff if cutoff is None else cutoff
     out = items
     for f in fields:
         out = out.withColumn(f"p_{f}", score(model, items[f]))
-    hit = F.lit(False)
-    for f in fields:
-        hit = hit | ((F.col(f"p_{f}") >= cutoff) & F.coalesce(F.col(f).rlike(ANY) & (F.trim(f) != ""), F.lit(False)))
-    return out.withColumn("residue", hit)
+    return out.withColumn("residue", F.greatest(F.lit(0.0), *(f"p_{f}" for f in fields)) >= cutoff)
 
 
-def found(items: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def found(items: DataFrame, cutoff: float | None = None) -> DataFrame:
     """qa_id of the items with residue, each once."""
     narrow = items.select("qa_id", *FIELDS)
     return scored(narrow, train(items), cutoff).where("residue").select("qa_id").distinct()
 
 
 def validation(items: DataFrame, most: int = MOST_A_CLASS) -> DataFrame:
-    """Texts of held-out videos by weak label and decision of the classifier alone."""
+    """Texts of held-out videos by weak label and decision of the classifier."""
     model = train(items, most)
     unseen = texts_of(items).where("held_out and label is not null")
-    return unseen.groupBy("label", (score(model, F.col("text")) >= CUTOFF).cast("int").alias("decision")).agg(F.count(F.lit(1)).alias("texts"))
+    return unseen.groupBy("label", (score(model, F.col("text")) >= model.cutoff).cast("int").alias("decision")).agg(F.count(F.lit(1)).alias("texts"))
