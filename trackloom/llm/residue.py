@@ -46,6 +46,8 @@ LINES = [
 ]
 SLOTS = ["name", "label", "subject", "object", "obj_a", "noun", "event_verb", "target", "time", "k", "x", "partner", "answer"]
 FORMS = ["{{%s}}", "{{ %s }}", "${%s}", "{%s}", "{0}", "<%% %s %%>", "{%% %s %%}", "%%(%s)s", "%%s", "@@%s@@", "__%U__", "[%U]", "<%U>", "[insert %s]", "<insert %s here>", "undefined"]
+#: Seeds of what belongs to the scene although it holds brackets, signs or such words: put behind a word of clean texts, which stay clean.
+SCENE = ['with the tag [{w}]', '(the one marked {n}%)', 'with a label "{w}"', 'holding page {n} of the {w}', "next to the error message on the {w}", "under the {w} board", "#{n}", 'that says "{w}"', "by the script {w}", "and the {w} template", "[{w}]", "({w})", "& the {w}"]
 
 BITS = 18
 SHAPES = [(0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 1, 2, 3, 4)]
@@ -89,6 +91,19 @@ def spoiled(clean: list[str], n: int, seed: int = 3, known: list[str] | None = N
     return out
 
 
+def decorated(clean: list[str], n: int, seed: int = 6) -> list[str]:
+    """n clean texts with a scene's own brackets, signs or words put in."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [w for w in dict.fromkeys(w for t in clean for w in t.split()) if w.isalpha() and w.islower()] or ["cup"]
+    out = []
+    for i in range(n if clean else 0):
+        words = clean[rng.integers(len(clean))].split(" ")
+        put = SCENE[i % len(SCENE)].replace("{w}", vocabulary[rng.integers(len(vocabulary))]).replace("{n}", str(rng.integers(2, 999)))
+        words.insert(int(rng.integers(1, len(words) + 1)), put)
+        out.append(" ".join(words))
+    return out
+
+
 def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Overlapping pieces of the texts, and the text each is of; the first starts and the last ends with a mark."""
     parts, of = [], []
@@ -201,7 +216,7 @@ def train(items: DataFrame, most: int = MOST_A_CLASS, fields: list[str] = FIELDS
     part = lambda label, held: rows.loc[(rows["label"] == label) & (rows["held_out"] == held), "text"].tolist()
     known = [x for x in rows.loc[(rows["label"] == 1) & ~rows["held_out"].astype(bool), "found"].dropna().tolist() if x and len(x) < 60 and " " not in x.strip()]
     clean, dirty = part(0, False), part(1, False)
-    model = _fit(clean, dirty + spoiled(clean, most, known=known))
+    model = _fit(clean + decorated(clean, most // 4), dirty + spoiled(clean, most, known=known))
     clean, dirty = part(0, True), part(1, True)
     dirty = dirty + spoiled(clean, len(clean) // 10, seed=4)
     if clean:
