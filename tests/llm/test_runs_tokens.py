@@ -46,8 +46,7 @@ def test_copies_durations_and_empty(tracks):
 
 
 @pytest.mark.skipif(not HAS_FILES, reason="no vocabulary files")
-def test_every_cut_is_exact(monkeypatch):
-    monkeypatch.setattr(T, "FRAGMENT", 1)
+def test_every_cut_is_exact():
     own = T.tokenizer("byte_bpe_50k")
     r = random.Random(1)
     letters = list("ab xqZ'sstrevlmd  \t\n\r  .,!?0129éß日本🙂́-_ 　") + ["<|endoftext|>", "'ll", "  "]

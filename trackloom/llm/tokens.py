@@ -2,8 +2,8 @@
 
 Method: forced-boundary splitting. A pair of bytes that occurs inside no vocabulary token can't be merged across, so
 the text may be cut between them, the fragments encoded independently and the ids concatenated.
-A long text thus costs time in proportion to its length and no fragment is large. Cuts are made
-only where the tokenizer's own splitting pattern can't notice them either (see cuts()).
+Every text, short or long, is cut at every such place; costs grow with its length, and as fragments repeat, the ids of most are known
+already. Cuts are made only where the tokenizer's own splitting pattern can't notice them either (see cuts()).
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 #: Where the public vocabularies lie; an environment variable of the executors or an argument may name another folder.
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-#: Fragments are joined up to about so many bytes, to spare calls.
-FRAGMENT = 2048
+#: Ids are kept of so many fragments of at most so many bytes.
+KEPT, KEPT_BYTES = 300_000, 48
+#: Texts that are cut at once.
+BLOCK = 1000
 
 _held: dict[str, "ByteTokenizer"] = {}
 
@@ -43,6 +45,7 @@ class ByteTokenizer:
             b = np.frombuffer(token, np.uint8)
             inside[b[:-1], b[1:]] = True
         self.free = ~inside
+        self.held: dict[bytes, list[int]] = {}
 
     def cuts(self, data: bytes) -> np.ndarray:
         """Positions where the text may be cut: the pair of bytes around it is in no token, and the cut is one of
@@ -60,22 +63,45 @@ class ByteTokenizer:
         ok = self.free[left, right] & ((plain[:-1] & space[1:]) | (letter[:-1] & letter[1:]))
         return np.flatnonzero(ok) + 1
 
+    def _ids(self, fragment: bytes) -> list[int]:
+        return self.encoding.encode_ordinary(fragment.decode("utf-8", "replace"))
+
+    def encode_many(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of every text without special tokens; none for a null or empty text. A special token's string is ordinary text.
+
+        All texts are cut at forced boundaries at once; fragments come again and again, so the ids of short ones are kept.
+        """
+        data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        joined = b"".join(data)
+        ends = np.cumsum([len(d) for d in data])
+        if not joined:
+            return [[] for _ in texts]
+        cut = np.zeros(len(joined) + 1, bool)
+        cut[self.cuts(joined)] = True
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        at = at[at > 0]
+        held, out, i, start = self.held, [], 0, 0
+        stops = at.tolist()
+        for end in ends.tolist():
+            ids: list[int] = []
+            while start < end:
+                stop = stops[i]
+                part = joined[start:stop]
+                known = held.get(part)
+                if known is None:
+                    known = self._ids(part)
+                    if len(part) <= KEPT_BYTES:
+                        if len(held) >= KEPT:
+                            held.clear()
+                        held[part] = known
+                ids += known
+                start, i = stop, i + 1
+            out.append(ids)
+        return out
+
     def encode(self, text: str | None) -> list[int]:
-        """Ids without special tokens; none for a null or empty text. A special token's string is ordinary text."""
-        if not text:
-            return []
-        if len(text) <= FRAGMENT:
-            return self.encoding.encode_ordinary(text)
-        data = text.encode("utf-8", "surrogatepass")
-        at = self.cuts(data)
-        ids: list[int] = []
-        start = 0
-        while start < len(data):
-            i = np.searchsorted(at, start + FRAGMENT)
-            end = int(at[i]) if i < len(at) else len(data)
-            ids += self.encoding.encode_ordinary(data[start:end].decode("utf-8", "replace"))
-            start = end
-        return ids
+        return self.encode_many([text])[0]
 
 
 def tokenizer(name: str, folder: str = FOLDER) -> ByteTokenizer:
@@ -91,7 +117,7 @@ def token_ids(text: Column, name: str = "byte_bpe_50k", folder: str = FOLDER) ->
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = tokenizer(name, folder)
         for texts in batches:
-            yield pd.Series([own.encode(x) for x in texts])
+            yield pd.Series([ids for k in range(0, len(texts), BLOCK) for ids in own.encode_many(texts.iloc[k : k + BLOCK].tolist())])
 
     return F.pandas_udf(encode, "array<int>")(text)
 
@@ -102,7 +128,7 @@ def token_count(text: Column, name: str = "byte_bpe_50k", folder: str = FOLDER)
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = tokenizer(name, folder)
         for texts in batches:
-            yield pd.Series([len(own.encode(x)) for x in texts], dtype="int64")
+            yield pd.Series([len(ids) for k in range(0, len(texts), BLOCK) for ids in own.encode_many(texts.iloc[k : k + BLOCK].tolist())], dtype="int64")
 
     return F.pandas_udf(count, "bigint")(text)
 
