@@ -1,13 +1,14 @@
 """Responses that stop before they are finished.
 
-Two kinds of evidence, of which the second needs no copy of the text:
-
-- near-copies: distinct texts are banded by min-hash signatures of their five-word shingles. Each unfinished text meets
-  the longest text of its buckets; the pair is verified (0.8 or more of the shorter's shingles are in the longer) and
-  aligned, and the text is flagged as a copy if its alignment ends early, where the longer goes on. A bucket
-  gives one partner, by a map-side aggregate, so its size doesn't matter and no pairs within it are listed;
-- form and closing word: blocks never closed, broken escapes, and for the rest a score from how often the closing word
-  closes sentences in the whole corpus and how long the text is (short answers need no full stop). A text that ends with an answer is complete.
+Structure decides where it can: blocks never closed and broken escapes. Open ends, which have neither an end of a sentence nor an answer, are
+judged by two kinds of evidence, of which the second needs no copy of the text:
+
+- near-copies: texts are banded by min-hash signatures of their five-word shingles. Each open text meets the longest text of each of its
+  buckets (a map-side aggregate, so a bucket's size doesn't matter); the pair is verified (0.8 or more of the shorter's shingles are in
+  the longer) and its words aligned, and the text counts as a copy that ends early if its alignment ends where the longer goes on. Open texts that
+  this and their closing words leave undecided then meet every other longer text of their buckets, in blocks;
+- terminality of the closing word: how often the word closes sentences in the whole corpus and how often it stands within them, and for words
+  seen nowhere else, how many longer words they begin. Texts that close their other sentences are expected to close the last one too.
 """
 
 from __future__ import annotations
@@ -20,12 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.text import key_text
+from trackloom.session import cut
 
 WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 8, 4
-#: Score: prior by words of the text, closing-word log odds within limits, evidence of a verified near-copy.
-WORD_PRIOR, FREE_WORDS, MOST_PRIOR, MOST_WORD, COPY = 0.7, 3, 3.0, 2.0, 2.0
+#: Score of an open end: style (no other sentence is closed, one is, each further one adds, up to a limit), limits of the closing word's log odds, evidence that it is
+#: broken (a rare word that begins others), evidence of a verified near-copy that goes on.
+ONE_SENTENCE, SEVERAL, EACH, MOST_STYLE = -1.5, 2.5, 0.6, 4.5
+MOST_WORD, MOST_BROKEN, RARE = 4.0, 3.0, 20
+COPY = 6.0
+#: Words at the end of a text that are aligned; texts of a bucket's block that an undecided text meets at once.
+TAIL, BLOCK = 200, 500
+#: So many pairs may be broadcast to the scan that fetches their texts.
+MOST_PAIRS = 1_000_000
 
 _ANSWER = r"(?:[A-H](?:\s*(?:,|->|→|>|\s)\s*[A-H])*|\d{1,3}(?: or more)?)"
 #: An answer at the end, behind something that announces it.
@@ -77,70 +86,141 @@ def closing_word(text: Column) -> Column:
 
 
 def closing_words(texts: DataFrame, text: str) -> DataFrame:
-    """word, closes (times before the end of a sentence), all: over every word of all texts, combined before the shuffle."""
-    word = F.explode(F.split(F.lower(F.col(text)), r"[\s\"(]+")).alias("w")
-    words = texts.select(word).select(F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"), F.col("w").rlike(r"[.!?][\"')*]*$").cast("int").alias("end"))
-    return words.where("word <> ''").groupBy("word").agg(F.sum("end").alias("closes"), F.count(F.lit(1)).alias("all"))
+    """word, closes (times before the end of a sentence), all: over every word of all texts. Words as they are written are counted before
+    the shuffle; signs are taken off the few different ones afterwards."""
+    written = texts.select(F.explode(F.split(F.lower(F.col(text)), r"[\s\"(]+")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = written.select(F.regexp_replace("w", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"), F.col("w").rlike(r"[.!?][\"')*]*$").alias("end"), "n")
+    return words.where("word <> ''").groupBy("word").agg(F.coalesce(F.sum(F.when(F.col("end"), F.col("n"))), F.lit(0)).alias("closes"), F.sum("n").alias("all"))
 
 
-def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    rng = np.random.default_rng(17)
-    a = rng.integers(1, 2**61, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**62, BANDS * ROWS, dtype=np.uint64)
+def with_odds(ends: DataFrame, stats: DataFrame) -> DataFrame:
+    """ends (word, ...) with odds: log odds that a text that stops behind the word isn't finished, and broken: log odds that the word itself isn't."""
+    closers = ends.select("word").distinct()
+    begins = stats.where("length(word) > 1").select("word", "all", F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substr(word, 1, i))")).alias("start"))
+    begins = begins.join(closers.withColumnRenamed("word", "start"), "start", "left_semi").groupBy("start").agg(F.sum("all").alias("longer"))
+    own = closers.join(stats, "word", "left").join(begins.withColumnRenamed("start", "word"), "word", "left").na.fill(0, ["all", "closes", "longer"])
+    odds = F.log((F.col("all") - F.col("closes") + 0.5) / (F.col("closes") + 0.5))
+    broken = F.when(F.col("all") < RARE, F.log((F.col("longer") + 0.5) / (F.col("all") + 0.5))).otherwise(0.0)
+    own = own.select("word", F.greatest(F.lit(-MOST_WORD), F.least(F.lit(MOST_WORD), odds)).alias("odds"), F.greatest(F.lit(0.0), F.least(F.lit(MOST_BROKEN), broken)).alias("broken"))
+    return ends.join(own, "word")
+
+
+_A = np.random.default_rng(17).integers(1, 2**61, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = np.random.default_rng(18).integers(0, 2**62, BANDS * ROWS, dtype=np.uint64)
+
+
+def _signatures(words: list[list[str]], held: dict[str, int]) -> list[list[int]]:
+    """Bucket of every band of each text (words in lower case), none for texts below WORDS words; all texts at once."""
     import xxhash
 
-    seen: dict[str, int] = {}
+    long = [i for i, w in enumerate(words) if len(w) >= WORDS]
+    out: list[list[int]] = [[] for _ in words]
+    flat = [w for i in long for w in words[i]]
+    for w in flat:
+        if w not in held:
+            held[w] = xxhash.xxh64_intdigest(w)
+    if not flat:
+        return out
+    h = np.fromiter((held[w] for w in flat), np.uint64, len(flat))
+    n = np.array([len(words[i]) for i in long])
+    s = h[: len(h) - WORDS + 1].copy()
+    for k in range(1, WORDS):
+        s = s * np.uint64(0x9E3779B97F4A7C15) ^ h[k : len(h) - WORDS + 1 + k]
+    first = np.cumsum(n) - n
+    inside = np.ones(len(s), bool)
+    for k in range(1, WORDS):  # shingles across two texts
+        at = first[1:] - k
+        inside[at[at < len(s)]] = False
+    s = s[inside]
+    start = first - np.arange(len(n)) * (WORDS - 1)
+    mixed = np.zeros((len(n), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        for b in range(BANDS):
+            low = np.minimum.reduceat(s * _A[b * ROWS + k] + _B[b * ROWS + k], start)
+            mixed[:, b] = (mixed[:, b] ^ low) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed ^= mixed >> np.uint64(31)
+    for i, row in zip(long, mixed.view(np.int64).tolist()):
+        out[i] = row
+    return out
+
+
+def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    held: dict[str, int] = {}
     for texts in batches:
-        out = []
-        if len(seen) > 500_000:
-            seen.clear()
-        for t in texts:
-            words = t.lower().split()
-            if len(words) < WORDS:
-                out.append([])
-                continue
-            for w in words:
-                if w not in seen:
-                    seen[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter((seen[w] for w in words), np.uint64, len(words))
-            s = h[: len(h) - WORDS + 1].copy()
-            for k in range(1, WORDS):
-                s = s * np.uint64(0x9E3779B97F4A7C15) ^ h[k : len(h) - WORDS + 1 + k]
-            low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-            for i in range(0, len(s), 4096):
-                np.minimum(low, (s[i : i + 4096, None] * a + b).min(0), out=low)
-            bands = low.reshape(BANDS, ROWS)
-            mixed = np.arange(1, BANDS + 1, dtype=np.uint64)
-            for k in range(ROWS):
-                mixed = (mixed ^ bands[:, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
-                mixed ^= mixed >> np.uint64(31)
-            out.append(mixed.view(np.int64).tolist())
-        yield pd.Series(out)
+        if len(held) > 500_000:
+            held.clear()
+        yield pd.Series([row for k in range(0, len(texts), 500) for row in _signatures([t.lower().split() for t in texts.iloc[k : k + 500]], held)])
 
 
-def early_ends(texts: DataFrame) -> DataFrame:
-    """tid of each unfinished text with a verified near-copy that goes on where it ends.
+def ends_early(short: str, long: str) -> bool:
+    """Whether short is a near-copy of long, and aligned with it (words, free ends in long) stops where long goes on.
 
-    texts: tid, text, unfinished; distinct texts.
+    The last word of short may be broken; long must go on with it, or with a word that begins so.
+    """
+    s, l = short.lower().split(), long.lower().split()
+    grams = lambda w: {tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))}
+    own = grams(s[:-1])
+    if len(s) < 2 or len(own & grams(l)) < SIMILAR * len(own):
+        return False
+    body = s[:-1][-TAIL:]
+    code = {w: i for i, w in enumerate(dict.fromkeys(l))}
+    there = np.array([code[w] for w in l])
+    step = np.arange(len(l) + 1)
+    cost = np.zeros(len(l) + 1, np.int64)
+    for i, w in enumerate(body):
+        new = np.empty_like(cost)
+        new[0] = i + 1
+        new[1:] = np.minimum(cost[:-1] + (there != code.get(w, -1)), cost[1:] + 1)
+        cost = np.minimum.accumulate(new - step) + step
+    best = cost.min()
+    if best > (1 - SIMILAR) * len(body):
+        return False
+    return any(j < len(l) and l[j].startswith(s[-1]) and (len(l) > j + 1 or l[j] != s[-1]) for j in np.flatnonzero(cost == best).tolist())
+
+
+def _verified(pairs: DataFrame, open_texts: DataFrame, texts: DataFrame) -> DataFrame:
+    """tid of pairs (tid, other) whose alignment ends early. The long texts are fetched by a broadcast of the pairs where they are few."""
+    pairs = cut(pairs)
+    few = pairs.count() <= MOST_PAIRS
+    long = texts.select(F.col("tid").alias("other"), F.col("text").alias("long"))
+    long = long.join(F.broadcast(pairs) if few else pairs, "other").dropDuplicates(["tid", "other"])
+    both = long.join(open_texts.select("tid", F.col("text").alias("short")), "tid")
+    early = F.pandas_udf(lambda a, b: pd.Series([ends_early(x, y) for x, y in zip(a, b)]), "boolean")
+    return both.where(early("short", "long")).select("tid").distinct()
+
+
+def banded(texts: DataFrame) -> DataFrame:
+    """tid, n (words), band: a row for each bucket of each text of WORDS words or more."""
+    long = texts.withColumn("n", F.size(F.split(F.trim("text"), r"\s+"))).where(F.col("n") >= WORDS)
+    return long.select("tid", "n", F.explode(F.pandas_udf(_bands, "array<bigint>")("text")).alias("band"))
+
+
+def copies(open_texts: DataFrame, texts: DataFrame, undecided: DataFrame | None = None) -> DataFrame:
+    """tid of each open text with a verified near-copy that goes on where it ends.
+
+    open_texts and texts: tid, text; repeated rows count once. Every open text is compared with the longest text of each of its buckets, those of undecided
+    (tid; by default all) that this leaves unmatched with all longer texts of their buckets.
     """
-    words = F.split(F.trim(F.lower("text")), r"\s+")
-    signed = texts.withColumn("n", F.size(words)).where(F.col("n") >= WORDS).select("tid", "unfinished", "n", F.explode(F.pandas_udf(_bands, "array<bigint>")("text")).alias("band"))
-    wanted = signed.where("unfinished")
-    longest = signed.join(wanted.select("band").distinct(), "band", "left_semi").groupBy("band").agg(F.max(F.struct("n", "tid")).alias("long"))
-    pairs = wanted.join(longest, "band").where("long.n > n").select("tid", F.col("long.tid").alias("other")).distinct()
-    one, two = texts.select("tid", F.col("text").alias("short")), texts.select(F.col("tid").alias("other"), F.col("text").alias("long"))
-    both = pairs.join(one, "tid").join(two, "other")
-    short, long = F.split(F.trim(F.lower("short")), r"\s+"), F.split(F.trim(F.lower("long")), r"\s+")
-    both = both.select("tid", short.alias("s"), long.alias("l"))
-    grams = lambda c: f"transform(sequence(1, greatest(1, size({c}) - {WORDS - 1})), i -> array_join(slice({c}, i, {WORDS}), ' '))"
-    # the last word may be broken, so the alignment closes with the shingle before it
-    closing = F.expr(f"array_join(slice(s, greatest(1, size(s) - {WORDS}), {WORDS}), ' ')")
-    place = F.expr("array_position(gl, closing)")
-    found = both.withColumn("gs", F.expr(grams("slice(s, 1, greatest(1, size(s) - 1))"))).withColumn("gl", F.expr(grams("l"))).withColumn("closing", closing).withColumn("place", place)
-    alike = F.expr("size(array_intersect(gs, gl)) / size(array_distinct(gs))")
-    after = f"get(l, cast(place + {WORDS - 1} as int))"
-    goes_on = F.expr(f"startswith({after}, element_at(s, -1)) and (size(l) > place + {WORDS} or {after} <> element_at(s, -1))")
-    return found.where((F.col("place") > 0) & (alike >= SIMILAR) & goes_on).select("tid").distinct()
+    wanted = cut(banded(open_texts).distinct())
+    members = banded(texts).join(wanted.select("band").distinct(), "band", "left_semi").distinct()
+    members = cut(members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band"))
+    longest = members.groupBy("band").agg(F.max(F.struct("n", "tid")).alias("long"))
+    first = wanted.join(longest, "band").where("long.n > n").select("tid", F.col("long.tid").alias("other")).distinct()
+    found = cut(_verified(first, open_texts, texts))
+    rest = wanted.join(found, "tid", "left_anti")
+    if undecided is not None:
+        rest = rest.join(undecided.select("tid").distinct(), "tid", "left_semi")
+    # every longer member, block by block: a bucket of any size is spread over its blocks
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    asked = rest.join(members.select("band", "size").distinct(), "band").select("tid", "n", "band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    there = members.select("band", F.col("tid").alias("other"), F.col("n").alias("m"), F.pmod(F.xxhash64("tid"), blocks).cast("int").alias("block"))
+    second = asked.join(there, ["band", "block"]).where("m > n").select("tid", "other").distinct().join(first, ["tid", "other"], "left_anti")
+    return found.union(_verified(second, open_texts, texts)).distinct()
+
+
+def early_ends(texts: DataFrame) -> DataFrame:
+    """tid of each unfinished text with a verified near-copy that goes on where it ends. texts: tid, text, unfinished."""
+    return copies(texts.where("unfinished"), texts)
 
 
 def item_texts(items: DataFrame) -> DataFrame:
@@ -157,36 +237,44 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}#]+", " "))
 
 
-def judged(preds: DataFrame, items: DataFrame) -> DataFrame:
-    """qa_id, model, score, truncated of every message whose text shows any sign of being cut; each message once.
-
-    score above 0 means truncated; structural signs (open block, broken escape) score 5. Null and blank responses, and
-    messages with a null identifier, give no row. An open end that only repeats the item's question or an option is complete.
-    """
+def open_ends(preds: DataFrame) -> DataFrame:
+    """qa_id, model, tid, text, structural of every message that shows a sign of being cut, each message and text once; one pass."""
     text = F.col("raw_response")
     rows = preds.select(key_text(preds["qa_id"]).alias("qa_id"), key_text(preds["model"]).alias("model"), text).where("qa_id is not null and model is not null and raw_response is not null")
-    rows = rows.withColumn("structural", open_block(text) | text.rlike(ESCAPE)).withColumn("unfinished", unfinished(text))
-    broken = rows.where("structural").select("qa_id", "model", F.lit(5.0).alias("score"))
+    rows = rows.withColumn("structural", open_block(text) | text.rlike(ESCAPE))
+    return rows.where(F.col("structural") | unfinished(text)).select("qa_id", "model", F.xxhash64("raw_response").alias("tid"), text.alias("text"), "structural").distinct()
+
 
-    tid = F.xxhash64("raw_response")
-    distinct = rows.select(tid.alias("tid"), F.col("raw_response").alias("text"), (F.col("unfinished") & ~F.col("structural")).alias("unfinished")).dropDuplicates(["tid"])
-    copies = early_ends(distinct).withColumn("copied", F.lit(True))
-    stats = closing_words(rows.select("raw_response"), "raw_response")
+def judged(preds: DataFrame, items: DataFrame) -> DataFrame:
+    """qa_id, model, score, truncated of every message whose text shows any sign of being cut, with the evidence; each message once.
+
+    score above 0 means truncated; structural signs (open block, broken escape) score 9. Evidence: structural, copied (a near-copy goes on),
+    word (log odds of the closing word, broken words included), style, repeats. Null and blank responses, and messages with a null
+    identifier, give no row. An open end that only repeats the item's question or an option is complete.
+    """
+    found = cut(open_ends(preds))
+    text = F.col("text")
+    texts = preds.where("raw_response is not null").select(F.xxhash64("raw_response").alias("tid"), F.col("raw_response").alias("text"))
+    rest = found.where("not structural")
     sentence = open_sentence(text)
-    rest = rows.where("unfinished and not structural").select(
-        "qa_id", "model", tid.alias("tid"), closing_word(text).alias("word"), sentence.rlike(ASKS).alias("asks"), F.size(F.split(F.trim(body(text)), r"\s+")).alias("words"), plain(body(text)).alias("response")
-    ).distinct()
-    rest = rest.join(stats, "word", "left").join(copies, "tid", "left").join(item_texts(items).withColumnRenamed("qa", "qa_id"), "qa_id", "left")
-    odds = F.log((F.coalesce("all", F.lit(0)) - F.coalesce("closes", F.lit(0)) + 0.5) / (F.coalesce("closes", F.lit(0)) + 0.5))
-    word = F.greatest(F.lit(-MOST_WORD), F.least(F.lit(MOST_WORD), odds))
-    prior = F.least(F.lit(MOST_PRIOR), WORD_PRIOR * (F.col("words") - FREE_WORDS))
+    closed = F.size(F.regexp_extract_all(body(text), F.lit(r"([.!?。！？][\"'”’»)*_`]*)(?=\s)"), 1))
+    ends = rest.select("qa_id", "model", "tid", closing_word(text).alias("word"), sentence.rlike(ASKS).alias("asks"), F.when(closed > 0, F.least(F.lit(MOST_STYLE), SEVERAL + EACH * (closed - 1))).otherwise(ONE_SENTENCE).alias("style"), plain(body(text)).alias("response"))
+    ends = with_odds(ends, closing_words(texts, "text")).join(item_texts(items).withColumnRenamed("qa", "qa_id"), "qa_id", "left")
     response = F.regexp_replace("response", r"^(?:q|question|you asked|answer|option) ", "")
     repeats = F.coalesce(F.size(F.array_except(F.split(response, " "), F.split(F.concat_ws(" ", "said", F.lit("a b c d")), " "))) == 0, F.lit(False))
     # without its item, a question that ends on a word that closes sentences counts as repeated
-    alone = F.col("said").isNull() & F.col("asks") & (odds < 0)
-    score = F.when(repeats | alone, -5.0).otherwise(prior + word + F.when(F.col("copied"), COPY).otherwise(0.0))
-    open_end = rest.select("qa_id", "model", score.alias("score"))
-    return broken.unionByName(open_end).groupBy("qa_id", "model").agg(F.max("score").alias("score")).withColumn("truncated", F.col("score") > 0)
+    alone = F.col("said").isNull() & F.col("asks") & (F.col("odds") < 0)
+    ends = cut(ends.select("qa_id", "model", "tid", (F.col("odds") + F.col("broken")).alias("word"), "style", (repeats | alone).alias("repeats")))
+    alone_score = F.col("style") + F.col("word")
+    undecided = ends.where(~F.col("repeats") & (alone_score <= 0) & (alone_score + COPY > 0))
+    matched = copies(rest.select("tid", "text").distinct(), texts, undecided).withColumn("copied", F.lit(True))
+    score = F.when(F.col("repeats"), -9.0).otherwise(alone_score + F.when(F.col("copied"), COPY).otherwise(0.0))
+    judged_ends = ends.join(matched, "tid", "left").select("qa_id", "model", score.alias("score"), F.lit(False).alias("structural"), F.coalesce("copied", F.lit(False)).alias("copied"), "word", "style", "repeats")
+    null = F.lit(None)
+    broken = found.where("structural").select("qa_id", "model", F.lit(9.0).alias("score"), F.lit(True).alias("structural"), F.lit(False).alias("copied"), null.cast("double").alias("word"), null.cast("double").alias("style"), F.lit(False).alias("repeats"))
+    evidence = ["score", "structural", "copied", "word", "style", "repeats"]
+    both = broken.unionByName(judged_ends).groupBy("qa_id", "model").agg(F.max(F.struct(*evidence)).alias("e"))
+    return both.select("qa_id", "model", *(f"e.{c}" for c in evidence)).withColumn("truncated", F.col("score") > 0)
 
 
 def rates(preds: DataFrame, items: DataFrame) -> DataFrame:
