@@ -73,7 +73,10 @@ def test_near_copies(spark):
 def test_expectation_maximisation_and_cutoff():
     post, share = P.fit(["111", "000", "xxx", "100"], np.array([50.0, 900.0, 40.0, 10.0]))
     assert post[0] > 0.99 and post[1] < 0.01 and post[3] < 0.5 and 0.02 < share < 0.12
-    assert P.cutoff(post, np.array([50.0, 900.0, 40.0, 10.0])) <= post[0] and P.cutoff(np.array([]), np.array([])) == 0.5
+    bad, good = np.array([40.0, 0.0, 0.0, 10.0]), np.array([0.0, 90.0, 10.0, 0.0])
+    count = np.array([50.0, 900.0, 40.0, 10.0])
+    at = P.cutoff(post, count, bad, good, share)
+    assert (post >= at).tolist() == [True, False, False, bool(post[3] >= 0.05)] and P.cutoff(post, count, bad * 0, good, share) <= post[0] and P.expected_cutoff(np.array([]), np.array([])) == 0.5
 
 
 def test_residue(spark):

@@ -3,8 +3,11 @@
 Method: several noisy labelling functions for every defect vote 1 (defect), 0 (no defect) or abstain. The votes of all messages
 are counted by pattern; a label model with one hidden class per defect is fitted to the counts by expectation
 maximisation (a pattern is at most a few votes long, so the counts are a small table whatever the number of messages), and
-gives each pattern its posterior. A defect is kept where the posterior exceeds a cutoff, chosen on held-out messages
-for the best expected F1. Several defects may be kept; p3_found then takes the likeliest.
+gives each pattern its posterior. A defect is kept where the posterior reaches a cutoff, which is validated on held-out messages of known
+state: sound ones, whose answer is their item's, and defects planted in such messages. Several defects may be kept; p3_found then takes the likeliest.
+
+The texts stay where they are: votes that need the text alone are given in one scan, items are joined only to texts without an answer in them
+(the only ones that can be echoes), and copies of a message are merged afterwards, by votes.
 """
 
 from __future__ import annotations
@@ -49,6 +52,12 @@ APOLOGY = r"(?i)^\W*(?:(?:hmm|hello|hi|well|please note(?: that)?|to be honest)\
 #: What frames an answer without being one.
 FRAME = r"(?i)</?(?:answer|response|final|output|think|result)>|\b(?:final answer|the answer is|my answer is|answer|response|option|output|result|reasoning)\b"
 
+#: Seeds of planted defects, and most sound messages that defects are planted in (validation only).
+EMPTY_SEEDS = ["", "   ", "N/A", "null", "**Answer:**", "```\n```", "<answer></answer>", "..."]
+OTHER_SEEDS = ["Die Antwort ist B, weil der Gegenstand dann nicht mehr im Bild ist.", "La réponse est C, car l'objet sort du cadre avant la fin.", "La respuesta es A porque el objeto vuelve a aparecer.", "La risposta è D, perché l'oggetto resta visibile.", "答案是B。", "Правильный ответ — A.", "回答はCです。", "A resposta é B porque o objeto desaparece."]
+REFUSAL_SEEDS = ["I'm sorry, but I can't help with that.", "I am unable to view the video, so I cannot answer this question.", "As an AI language model I do not have access to the footage.", "I'd rather not answer this.", "Unfortunately I cannot determine an answer from this.", "I must decline to answer this request.", "I won't be able to assist with this question."]
+MOST_PLANTED = 3000
+
 
 def content(text: Column) -> Column:
     """The text without closed reasoning, tags and labels, letters and digits only."""
@@ -68,60 +77,91 @@ def _share(words: Column, of: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(of)))
 
 
-def votes(messages: DataFrame) -> DataFrame:
-    """messages (qa_id, model, text, extracted, error, score, said, asked) with one string of votes for every defect."""
+def _features(rows: DataFrame) -> DataFrame:
+    """rows (qa_id, model, text, extracted) with what the votes need of the text alone. Costly patterns are tried only where they can matter."""
     text = F.coalesce("text", F.lit(""))
-    core = content(text)
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\"“”„«»][^\"“”„«»\n]{0,80}[\"“”„«»]", " "), r"</?think>", " "), r"[’]", "'")
     words = F.split(F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{M}']+", " ")), " ")
-    m = messages.withColumns({"core": core, "words": words, "t": text, "main": truncation.body(text)})
+    m = rows.withColumns({"core": content(text), "words": words, "t": text, "main": truncation.body(text)})
     m = m.withColumns({"n": F.size(F.filter("words", lambda w: F.length(w) > 1)), "english": _share(F.col("words"), ENGLISH), "foreign": _share(F.col("words"), OTHER), "letters": F.length(F.regexp_replace("t", r"[^\p{L}]", "")), "latin": F.length(F.regexp_replace("t", r"[^\p{IsLatin}]", ""))})
     answers = truncation.answer_end(F.regexp_replace("main", r"\s+$", "")) | F.col("main").rlike(r"(?s)^\s*[A-H][.):]\s+\S|\b(?i:answer|option|choose|hence|leaves)\b(?: is)?[:\s]+(?:[A-H]|\d+)\b|\"answer\":\s*\"[^\"]+\"")
-    m = m.withColumn("answers", answers).withColumn("plain", truncation.plain(F.col("main")))
-    response = F.split(F.regexp_replace("plain", r"^(?:q|question|you asked|the question is|prompt) ", ""), " ")
-    question = F.split("asked", " ")
-    rest = F.size(F.array_except(response, F.split(F.concat_ws(" ", "said", F.lit("a b c d q question you asked options option")), " ")))
-    m = m.withColumns({"left": rest, "own": F.size(F.array_distinct(response)), "shared": F.size(F.array_intersect(response, question)), "of": F.size(F.array_distinct(question))})
-    known = F.col("asked").isNotNull() & (F.col("asked") != "")
-    asks = F.col("main").rlike(truncation.ASKS)
-    one = ~F.regexp_replace("main", r"(?s)[?.!\s\"'*]+$", "").rlike(r"[.!]\s+\p{Lu}")
-    refuses = [F.col("t").rlike(p) for p in REFUSES]
-    some = reduce(lambda a, b: a | b, refuses)
-    strange = (F.col("letters") > 0) & (F.col("latin") < 0.7 * F.col("letters"))
-    announced = F.col("t").rlike(ANNOUNCED) & (F.col("english") == 0)
-    marked = F.col("t").rlike(r"[\u00C0-\u024F]")
-    blank = (F.col("core") == "") | F.col("core").rlike(r"(?i)^(?:null|none|n a|na|nil|nan|undefined|empty|unknown|not available|no answer|no response|blank|tbd)$")
+    m = m.withColumn("answers", answers)
+    m = m.withColumns({f"refuses{i}": F.when(F.col("answers"), False).otherwise(F.col("t").rlike(p)) for i, p in enumerate(REFUSES)})
+    return m.withColumns({"apology": F.when(F.col("answers"), False).otherwise(F.col("t").rlike(APOLOGY)), "announces": F.when(F.col("english") >= 2, False).otherwise(F.col("t").rlike(ANNOUNCED)), "asks": F.when(F.col("answers"), False).otherwise(F.regexp_replace("main", r"\s+", " ").rlike(truncation.ASKS))})
+
+
+def text_votes(rows: DataFrame) -> DataFrame:
+    """rows (qa_id, model, text, extracted) with a string of votes for empty, other_language and refusal; open: the text holds no answer."""
+    m = _features(rows)
+    c = F.col
+    some = c("refuses0") | c("refuses1") | c("refuses2")
+    strange = (c("letters") > 0) & (c("latin") < 0.7 * c("letters"))
+    announced = c("announces") & (c("english") == 0)
+    marked = c("t").rlike(r"[\u00C0-\u024F]")
+    blank = (c("core") == "") | c("core").rlike(r"(?i)^(?:null|none|n a|na|nil|nan|undefined|empty|unknown|not available|no answer|no response|blank|tbd)$")
     substance = F.size(F.split("core", " ")) >= 3
+    nothing = F.coalesce(F.size("extracted"), F.lit(0)) <= 0
     return m.select(
         "qa_id",
         "model",
         F.concat(
-            _vote(F.col("core") == "", F.col("core") != ""),
-            _vote(blank, F.col("answers") | substance),
-            _vote(F.col("text").isNull() | ~F.col("t").rlike(r"[\p{L}\p{N}]"), substance),
-            _vote(blank & (F.coalesce(F.size("extracted"), F.lit(0)) <= 0), F.col("answers")),
+            _vote(c("core") == "", c("core") != ""),
+            _vote(blank, c("answers") | substance),
+            _vote(c("text").isNull() | ~c("t").rlike(r"[\p{L}\p{N}]"), substance),
+            _vote(blank & nothing, c("answers")),
         ).alias("empty"),
         F.concat(
-            _vote(strange & (F.col("letters") > 0), (F.col("latin") >= 0.9 * F.col("letters")) & (F.col("english") >= 1)),
-            _vote(strange | ((F.col("foreign") >= 2) & (F.col("foreign") > 2 * F.col("english"))), (F.col("english") > 0) & (F.col("english") >= F.col("foreign"))),
-            _vote(F.col("t").rlike(ANNOUNCED) | strange, F.col("english") >= 2),
-            _vote(strange | announced | ((F.col("n") >= 4) & (F.col("english") == 0) & (marked | (F.col("foreign") > 0) | ~F.col("answers"))), F.col("n") < 2),
-            _vote(strange | announced | ((F.col("n") >= 3) & (F.col("foreign") > F.col("english"))), (F.col("n") == 0) | (F.col("english") > 0.2 * F.col("n"))),
+            _vote(strange, (c("latin") >= 0.9 * c("letters")) & (c("english") >= 1)),
+            _vote(strange | ((c("foreign") >= 2) & (c("foreign") > 2 * c("english"))), (c("english") > 0) & (c("english") >= c("foreign"))),
+            _vote(c("announces") | strange, c("english") >= 2),
+            _vote(strange | announced | ((c("n") >= 4) & (c("english") == 0) & (marked | (c("foreign") > 0) | ~c("answers"))), c("n") < 2),
+            _vote(strange | announced | ((c("n") >= 3) & (c("foreign") > c("english"))), (c("n") == 0) | (c("english") > 0.2 * c("n"))),
         ).alias("other_language"),
         F.concat(
-            *(_vote(r, ~some) for r in refuses),
-            _vote(F.col("t").rlike(APOLOGY) & ~F.col("answers"), F.col("answers")),
-            _vote((F.coalesce(F.size("extracted"), F.lit(0)) <= 0) & some, F.col("answers") | (F.col("n") > 45)),
-            _vote((F.col("n") <= 40) & some & ~F.col("answers"), F.col("answers") | asks | ~some),
+            *(_vote(c(f"refuses{i}"), ~some) for i in range(len(REFUSES))),
+            _vote(c("apology"), c("answers")),
+            _vote(nothing & some, c("answers") | (c("n") > 45)),
+            _vote((c("n") <= 40) & some, c("answers") | c("asks") | ~some),
         ).alias("refusal"),
-        F.concat(
-            _vote(known & (F.col("left") == 0) & (F.col("own") >= 4) & ~F.col("answers"), F.col("answers") | (known & (F.col("left") > 0.34 * F.col("own")))),
-            _vote(known & (F.col("shared") >= 0.7 * F.col("of")) & (F.col("left") <= 1) & (F.col("own") >= 4) & ~F.col("answers"), F.col("answers") | (known & (F.col("shared") < 0.4 * F.col("of")))),
-            _vote(asks & one & (F.col("own") >= 4) & ~F.col("answers"), ~asks | F.col("answers")),
-            _vote(asks & ~F.col("answers"), F.col("answers")),
-        ).alias("echo"),
-        F.concat(_vote(F.col("score") > 0, F.col("score").isNull() | (F.col("score") <= 0)), _vote(F.col("score") >= 2, F.col("score").isNull()), _vote((F.col("score") > 0) & ~F.col("answers"), F.col("answers") & F.col("score").isNull())).alias("truncated"),
+        F.when(~c("answers") & (c("core") != ""), c("main")).alias("open"),
+        "asks",
+    )
+
+
+def echo_votes(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """rows (open, asks, qa_id, ...) with votes for echo. A text with an answer in it is none, whatever its item; only the others meet their items."""
+    c = F.col
+    closed = rows.where("open is null").withColumn("echo", F.lit("0000"))
+    m = rows.where("open is not null").join(truncation.item_texts(items).withColumnRenamed("qa", "qa_id"), "qa_id", "left").withColumn("plain", truncation.plain(c("open")))
+    response = F.split(F.regexp_replace("plain", r"^(?:q|question|you asked|the question is|prompt) ", ""), " ")
+    question = F.split("asked", " ")
+    rest = F.size(F.array_except(response, F.split(F.concat_ws(" ", "said", F.lit("a b c d q question you asked options option")), " ")))
+    m = m.withColumns({"left": rest, "own": F.size(F.array_distinct(response)), "shared": F.size(F.array_intersect(response, question)), "of": F.size(F.array_distinct(question))})
+    known = c("asked").isNotNull() & (c("asked") != "")
+    one = ~F.regexp_replace("open", r"(?s)[?.!\s\"'*]+$", "").rlike(r"[.!]\s+\p{Lu}")
+    echo = F.concat(
+        _vote(known & (c("left") == 0) & (c("own") >= 4), known & (c("left") > 0.34 * c("own"))),
+        _vote(known & (c("shared") >= 0.7 * c("of")) & (c("left") <= 1) & (c("own") >= 4), known & (c("shared") < 0.4 * c("of"))),
+        _vote(c("asks") & one & (c("own") >= 4), ~c("asks")),
+        _vote(c("asks"), None),
     )
+    return closed.unionByName(m.select(*rows.columns, echo.alias("echo")))
+
+
+def truncation_votes(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """rows with votes for truncated, each from a signal of its own: structure, closing word, style of the other sentences, near-copies."""
+    c = F.col
+    evidence = judged.select("qa_id", "model", "structural", "copied", "word", "style", "repeats", F.lit(True).alias("ends_open"))
+    m = rows.join(evidence, ["qa_id", "model"], "left")
+    known = c("ends_open").isNotNull()
+    open_end = known & ~c("structural") & ~c("repeats")
+    votes = F.concat(
+        _vote(c("structural"), ~known),
+        _vote(open_end & (c("word") > 0), ~known | c("repeats") | (c("word") < -1)),
+        _vote(open_end & (c("style") > 0), ~known | c("repeats")),
+        _vote(open_end & c("copied"), ~known),
+    )
+    return m.select(*rows.columns, votes.alias("truncated"))
 
 
 def fit(patterns: list[str], count: np.ndarray, rounds: int = 50, prior: float = 0.02, strength: float = 0.05) -> tuple[np.ndarray, float]:
@@ -149,8 +189,8 @@ def fit(patterns: list[str], count: np.ndarray, rounds: int = 50, prior: float =
     return post, share
 
 
-def cutoff(post: np.ndarray, count: np.ndarray) -> float:
-    """Posterior above which a label is kept: the best expected F1 over the counts given, 0.5 without any."""
+def expected_cutoff(post: np.ndarray, count: np.ndarray) -> float:
+    """Posterior from which a label is kept where no message's state is known: the best F1 that the model itself expects, 0.5 without counts."""
     best, at = -1.0, 0.5
     whole = (post * count).sum()
     for c in np.unique(post[post > 0.3]):
@@ -161,13 +201,60 @@ def cutoff(post: np.ndarray, count: np.ndarray) -> float:
     return min(at, 0.95)
 
 
-def messages(preds: DataFrame, items: DataFrame) -> DataFrame:
-    """One row a message (identifiers trimmed and in lower case, nulls left out) with its item's words and its score of truncation."""
-    rows = preds.select(key_text(preds["qa_id"]).alias("qa_id"), key_text(preds["model"]).alias("model"), F.struct(F.col("raw_response").alias("text"), F.col("extracted_answer").alias("extracted"), "error").alias("m"))
-    one = rows.where("qa_id is not null and model is not null").groupBy("qa_id", "model").agg(F.max("m").alias("m")).select("qa_id", "model", "m.*")
-    said = truncation.item_texts(items).withColumnRenamed("qa", "qa_id")
-    scores = truncation.judged(preds, items).select("qa_id", "model", "score")
-    return one.join(said, "qa_id", "left").join(scores, ["qa_id", "model"], "left")
+def cutoff(post: np.ndarray, count: np.ndarray, bad: np.ndarray, good: np.ndarray, share: float) -> float:
+    """Posterior from which a label is kept: the best F1 over messages of known state, the expected one where there are none.
+
+    count, bad and good: all messages, known defects and known sound messages by pattern; the known ones are weighted so that defects have the fitted share.
+    """
+    if bad.sum() == 0 or good.sum() == 0:
+        return expected_cutoff(post, count)
+    hit, miss = share * bad / bad.sum(), (1 - share) * good / good.sum()
+    best, at = -1.0, 0.5
+    levels = np.unique(post[(post > 0.05) & (bad + good > 0)])
+    for low, c in zip(np.append(0.0, levels[:-1]), levels):
+        kept = post >= c
+        f1 = 2 * hit[kept].sum() / (hit[kept].sum() + miss[kept].sum() + share)
+        if f1 > best + 1e-9:
+            best, at = f1, float(max((low + c) / 2, 0.05))
+    return at
+
+
+def messages(preds: DataFrame) -> DataFrame:
+    """qa_id, model (trimmed, in lower case, nulls left out), text, extracted of every row."""
+    rows = preds.select(key_text(preds["qa_id"]).alias("qa_id"), key_text(preds["model"]).alias("model"), F.col("raw_response").alias("text"), F.col("extracted_answer").alias("extracted"))
+    return rows.where("qa_id is not null and model is not null")
+
+
+def voted(preds: DataFrame, items: DataFrame, judged: DataFrame) -> DataFrame:
+    """qa_id, model and a string of votes for every defect; one row a message (of copies that differ the greatest string)."""
+    rows = text_votes(messages(preds))
+    one = rows.groupBy("qa_id", "model").agg(F.max(F.struct("open", "asks", *DEFECTS[:3])).alias("m")).select("qa_id", "model", "m.*")
+    return truncation_votes(echo_votes(one, items), judged).select("qa_id", "model", *DEFECTS)
+
+
+def planted(preds: DataFrame, items: DataFrame, most: int = MOST_PLANTED) -> tuple[DataFrame, DataFrame]:
+    """Log and kinds (qa_id, model, kind) of messages of known state: at most `most` sound ones of two sentences or more, each left as it is or given one defect.
+
+    Sound: the extracted answer is the item's. truncated: the first part of the text, cut anywhere; echo: the item's question in several forms; the rest from seeds.
+    """
+    keyed = messages(preds).where("size(extracted) = 1")
+    key = F.col("correct_answer") if "correct_answer" in items.columns else F.lit(None).cast("string")
+    answers = items.select(key_text(items["qa_id"]).alias("qa_id"), key.alias("correct_answer"), "question").where("correct_answer is not null and question is not null").dropDuplicates(["qa_id"])
+    # only sound messages of held-out identifiers: few enough before the join
+    h = F.xxhash64("qa_id", "model")
+    some = keyed.where((F.pmod(h, F.lit(5)) == 0) & F.col("text").rlike(r"(?s)[.!?]\s.*[.!?]\s"))
+    sound = some.join(answers, "qa_id").where(F.col("extracted")[0] == F.col("correct_answer")).orderBy(h, "qa_id", "model").limit(most)
+    sound = cut(sound.select("qa_id", "model", "text", "extracted", "question").dropDuplicates(["qa_id", "model"]))
+    pick = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (F.pmod(h, F.lit(len(texts))) + 1).cast("int"))
+    at = F.greatest(F.lit(8), (F.length("text") * (0.15 + F.pmod(h, F.lit(61)) / 100)).cast("int"))
+    forms = [F.col("question"), F.upper("question"), F.concat(F.lit("Q: "), "question"), F.regexp_replace("question", r"[?.]\s*$", ""), F.regexp_replace("question", " ", "  "), F.concat("question", F.lit("\n"), "question")]
+    echo = F.element_at(F.array(*forms), (F.pmod(h, F.lit(len(forms))) + 1).cast("int"))
+    made = {"sound": F.col("text"), "empty": pick(EMPTY_SEEDS), "other_language": pick(OTHER_SEEDS), "refusal": pick(REFUSAL_SEEDS), "echo": echo, "truncated": F.substring("text", F.lit(1), at)}
+    kinds = F.element_at(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("text")) for k, v in made.items())), (F.pmod(F.xxhash64(F.lit(1), "qa_id", "model"), F.lit(len(made))) + 1).cast("int")).alias("p")
+    rows = sound.select("qa_id", F.col("model").alias("of"), "extracted", kinds).select("qa_id", F.concat("of", F.lit(" "), "p.kind").alias("model"), "p.kind", "p.text", F.when(F.col("p.kind") == "sound", F.col("extracted")).alias("extracted"))
+    rows = cut(rows)
+    log = rows.select("qa_id", "model", F.col("text").alias("raw_response"), F.col("extracted").alias("extracted_answer"))
+    return log, rows.select("qa_id", "model", "kind")
 
 
 def labelled(preds: DataFrame, items: DataFrame) -> DataFrame:
@@ -176,20 +263,25 @@ def labelled(preds: DataFrame, items: DataFrame) -> DataFrame:
     Messages without an item are judged by their text alone. Sound messages give no row.
     """
     spark = preds.sparkSession
-    voted = cut(votes(messages(preds, items)))
-    held = (F.pmod(F.xxhash64("qa_id", "model"), F.lit(5)) == 0).alias("held")
-    stacked = voted.select("qa_id", "model", held, F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("v")).select("qa_id", "model", "held", "v.*")
-    counts = stacked.groupBy("defect", "pattern", "held").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    stats = cut(truncation.closing_words(preds.where("raw_response is not null"), "raw_response"))
+    votes = cut(voted(preds, items, truncation.judged(preds, items, stats)))
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("v")
+    stacked = votes.select("qa_id", "model", each).select("qa_id", "model", "v.*")
+    held = F.pmod(F.xxhash64("qa_id", "model"), F.lit(5)) == 0
+    counts = stacked.where(~held).groupBy("defect", "pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    log, kinds = planted(preds, items)
+    known = kinds.join(voted(log, items, truncation.judged(log, items, stats, match=False)), ["qa_id", "model"]).select("kind", each).groupBy("kind", "v.defect", "v.pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
     rows = []
     for d in DEFECTS:
-        own = counts[counts["defect"] == d].pivot_table(index="pattern", columns="held", values="n", aggfunc="sum", fill_value=0)
-        if not len(own):
+        own, seen = counts[counts["defect"] == d].set_index("pattern")["n"], known[known["defect"] == d]
+        bad, good = seen[seen["kind"] == d].set_index("pattern")["n"], seen[seen["kind"] == "sound"].set_index("pattern")["n"]
+        rare = stacked.where(held & (F.col("defect") == d)).select("pattern").distinct().toPandas()["pattern"] if not len(own) else []
+        patterns = sorted({*own.index, *bad.index, *good.index, *rare})
+        if not patterns:
             continue
-        patterns = own.index.tolist()
-        fitted = own[False].to_numpy(float) if False in own else own[True].to_numpy(float)
-        unseen = own[True].to_numpy(float) if True in own else fitted
-        post, _ = fit(patterns, np.maximum(fitted, 1e-3))
-        at = cutoff(post, unseen)
+        number = lambda x: np.array([float(x.get(p, 0)) for p in patterns])
+        post, share = fit(patterns, np.maximum(number(own), 1e-3))
+        at = cutoff(post, number(own), number(bad), number(good), share)
         rows += [(d, p, float(x), DEFECTS.index(d)) for p, x in zip(patterns, post) if x >= at]
     kept = spark.createDataFrame(rows, "defect string, pattern string, posterior double, rank int")
     # at most 3 ** (votes of a defect) rows

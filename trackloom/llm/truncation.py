@@ -245,12 +245,13 @@ def open_ends(preds: DataFrame) -> DataFrame:
     return rows.where(F.col("structural") | unfinished(text)).select("qa_id", "model", F.xxhash64("raw_response").alias("tid"), text.alias("text"), "structural").distinct()
 
 
-def judged(preds: DataFrame, items: DataFrame) -> DataFrame:
+def judged(preds: DataFrame, items: DataFrame, stats: DataFrame | None = None, match: bool = True) -> DataFrame:
     """qa_id, model, score, truncated of every message whose text shows any sign of being cut, with the evidence; each message once.
 
     score above 0 means truncated; structural signs (open block, broken escape) score 9. Evidence: structural, copied (a near-copy goes on),
     word (log odds of the closing word, broken words included), style, repeats. Null and blank responses, and messages with a null
-    identifier, give no row. An open end that only repeats the item's question or an option is complete.
+    identifier, give no row. An open end that only repeats the item's question or an option is complete. stats: closing_words() of the corpus, by default
+    of preds; match: look for near-copies.
     """
     found = cut(open_ends(preds))
     text = F.col("text")
@@ -259,7 +260,7 @@ def judged(preds: DataFrame, items: DataFrame) -> DataFrame:
     sentence = open_sentence(text)
     closed = F.size(F.regexp_extract_all(body(text), F.lit(r"([.!?。！？][\"'”’»)*_`]*)(?=\s)"), 1))
     ends = rest.select("qa_id", "model", "tid", closing_word(text).alias("word"), sentence.rlike(ASKS).alias("asks"), F.when(closed > 0, F.least(F.lit(MOST_STYLE), SEVERAL + EACH * (closed - 1))).otherwise(ONE_SENTENCE).alias("style"), plain(body(text)).alias("response"))
-    ends = with_odds(ends, closing_words(texts, "text")).join(item_texts(items).withColumnRenamed("qa", "qa_id"), "qa_id", "left")
+    ends = with_odds(ends, closing_words(texts, "text") if stats is None else stats).join(item_texts(items).withColumnRenamed("qa", "qa_id"), "qa_id", "left")
     response = F.regexp_replace("response", r"^(?:q|question|you asked|answer|option) ", "")
     repeats = F.coalesce(F.size(F.array_except(F.split(response, " "), F.split(F.concat_ws(" ", "said", F.lit("a b c d")), " "))) == 0, F.lit(False))
     # without its item, a question that ends on a word that closes sentences counts as repeated
@@ -267,7 +268,8 @@ def judged(preds: DataFrame, items: DataFrame) -> DataFrame:
     ends = cut(ends.select("qa_id", "model", "tid", (F.col("odds") + F.col("broken")).alias("word"), "style", (repeats | alone).alias("repeats")))
     alone_score = F.col("style") + F.col("word")
     undecided = ends.where(~F.col("repeats") & (alone_score <= 0) & (alone_score + COPY > 0))
-    matched = copies(rest.select("tid", "text").distinct(), texts, undecided).withColumn("copied", F.lit(True))
+    matched = copies(rest.select("tid", "text").distinct(), texts, undecided) if match else ends.select("tid").limit(0)
+    matched = matched.withColumn("copied", F.lit(True))
     score = F.when(F.col("repeats"), -9.0).otherwise(alone_score + F.when(F.col("copied"), COPY).otherwise(0.0))
     judged_ends = ends.join(matched, "tid", "left").select("qa_id", "model", score.alias("score"), F.lit(False).alias("structural"), F.coalesce("copied", F.lit(False)).alias("copied"), "word", "style", "repeats")
     null = F.lit(None)
