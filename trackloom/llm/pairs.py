@@ -73,18 +73,21 @@ def _vote(yes: Column | None, no: Column | None) -> Column:
     return F.when(F.coalesce(yes, F.lit(False)), "1").otherwise(out) if yes is not None else out
 
 
-def _share(words: Column, of: list[str]) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(of)))
-
-
 def _features(rows: DataFrame) -> DataFrame:
     """rows (qa_id, model, text, extracted) with what the votes need of the text alone. Costly patterns are tried only where they can matter."""
     text = F.coalesce("text", F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[\"“”„«»][^\"“”„«»\n]{0,80}[\"“”„«»]", " "), r"</?think>", " "), r"[’]", "'")
-    words = F.split(F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{M}']+", " ")), " ")
-    m = rows.withColumns({"core": content(text), "words": words, "t": text, "main": truncation.body(text)})
-    m = m.withColumns({"n": F.size(F.filter("words", lambda w: F.length(w) > 1)), "english": _share(F.col("words"), ENGLISH), "foreign": _share(F.col("words"), OTHER), "letters": F.length(F.regexp_replace("t", r"[^\p{L}]", "")), "latin": F.length(F.regexp_replace("t", r"[^\p{IsLatin}]", ""))})
-    answers = truncation.answer_end(F.regexp_replace("main", r"\s+$", "")) | F.col("main").rlike(r"(?s)^\s*[A-H][.):]\s+\S|\b(?i:answer|option|choose|hence|leaves)\b(?: is)?[:\s]+(?:[A-H]|\d+)\b|\"answer\":\s*\"[^\"]+\"")
+    c = F.col
+    ascii_only = F.octet_length(text) == F.length(text)
+    m = rows.withColumns({"t": text, "main": truncation.body(text), "plain": ascii_only})
+    bare = F.regexp_replace(F.translate("t", "’", "'"), r"[\"“”„«»][^\"“”„«»\n]{0,80}[\"“”„«»]|</?think>", " ")
+    # of a long text the frame is a small part, so that only its signs are taken off
+    m = m.withColumn("core", F.when(F.length("main") <= 200, content(c("t"))).otherwise(F.trim(F.regexp_replace("main", r"[^\p{L}\p{N}]+", " "))))
+    m = m.withColumn("words", F.array_distinct(F.split(F.lower(bare), r"[^\p{L}\p{M}']+")))
+    m = m.withColumn("english", F.size(F.array_intersect("words", F.array(*map(F.lit, ENGLISH)))))
+    # a text with so many different English function words is English
+    m = m.withColumn("foreign", F.when(c("english") >= 5, 0).otherwise(F.size(F.array_intersect("words", F.array(*map(F.lit, OTHER))))))
+    m = m.withColumns({"n": F.size(F.filter("words", lambda w: F.length(w) > 1)), "letters": F.when(c("plain"), F.length("t")).otherwise(F.length(F.regexp_replace("t", r"[^\p{L}]", ""))), "latin": F.when(c("plain"), F.length("t")).otherwise(F.length(F.regexp_replace("t", r"[^\p{IsLatin}]", "")))})
+    answers = truncation.answer_end(F.rtrim("main", F.lit(truncation._SPACE))) | F.col("main").rlike(r"(?s)^\s*[A-H][.):]\s+\S|\b(?i:answer|option|choose|hence|leaves)\b(?: is)?[:\s]+(?:[A-H]|\d+)\b|\"answer\":\s*\"[^\"]+\"")
     m = m.withColumn("answers", answers)
     m = m.withColumns({f"refuses{i}": F.when(F.col("answers"), False).otherwise(F.col("t").rlike(p)) for i, p in enumerate(REFUSES)})
     return m.withColumns({"apology": F.when(F.col("answers"), False).otherwise(F.col("t").rlike(APOLOGY)), "announces": F.when(F.col("english") >= 2, False).otherwise(F.col("t").rlike(ANNOUNCED)), "asks": F.when(F.col("answers"), False).otherwise(F.regexp_replace("main", r"\s+", " ").rlike(truncation.ASKS))})
@@ -97,7 +100,7 @@ def text_votes(rows: DataFrame) -> DataFrame:
     some = c("refuses0") | c("refuses1") | c("refuses2")
     strange = (c("letters") > 0) & (c("latin") < 0.7 * c("letters"))
     announced = c("announces") & (c("english") == 0)
-    marked = c("t").rlike(r"[\u00C0-\u024F]")
+    marked = ~c("plain") & c("t").rlike(r"[\u00C0-\u024F]")
     blank = (c("core") == "") | c("core").rlike(r"(?i)^(?:null|none|n a|na|nil|nan|undefined|empty|unknown|not available|no answer|no response|blank|tbd)$")
     substance = F.size(F.split("core", " ")) >= 3
     nothing = F.coalesce(F.size("extracted"), F.lit(0)) <= 0
@@ -268,20 +271,19 @@ def labelled(preds: DataFrame, items: DataFrame) -> DataFrame:
     each = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("v")
     stacked = votes.select("qa_id", "model", each).select("qa_id", "model", "v.*")
     held = F.pmod(F.xxhash64("qa_id", "model"), F.lit(5)) == 0
-    counts = stacked.where(~held).groupBy("defect", "pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts = stacked.groupBy("defect", "pattern").agg(F.count_if(~held).alias("n"), F.count(F.lit(1)).alias("all")).toPandas()
     log, kinds = planted(preds, items)
     known = kinds.join(voted(log, items, truncation.judged(log, items, stats, match=False)), ["qa_id", "model"]).select("kind", each).groupBy("kind", "v.defect", "v.pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()
     rows = []
     for d in DEFECTS:
-        own, seen = counts[counts["defect"] == d].set_index("pattern")["n"], known[known["defect"] == d]
+        own, every, seen = *(counts[counts["defect"] == d].set_index("pattern")[x] for x in ("n", "all")), known[known["defect"] == d]
         bad, good = seen[seen["kind"] == d].set_index("pattern")["n"], seen[seen["kind"] == "sound"].set_index("pattern")["n"]
-        rare = stacked.where(held & (F.col("defect") == d)).select("pattern").distinct().toPandas()["pattern"] if not len(own) else []
-        patterns = sorted({*own.index, *bad.index, *good.index, *rare})
+        patterns = sorted({*own.index, *bad.index, *good.index})
         if not patterns:
             continue
         number = lambda x: np.array([float(x.get(p, 0)) for p in patterns])
         post, share = fit(patterns, np.maximum(number(own), 1e-3))
-        at = cutoff(post, number(own), number(bad), number(good), share)
+        at = cutoff(post, number(every), number(bad), number(good), share)
         rows += [(d, p, float(x), DEFECTS.index(d)) for p, x in zip(patterns, post) if x >= at]
     kept = spark.createDataFrame(rows, "defect string, pattern string, posterior double, rank int")
     # at most 3 ** (votes of a defect) rows

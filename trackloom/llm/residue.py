@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,7 @@ FORMS = ["{{%s}}", "{{ %s }}", "${%s}", "{%s}", "{0}", "<%% %s %%>", "{%% %s %%}
 SCENE = ['with the tag [{w}]', '(the one marked {n}%)', 'with a label "{w}"', 'holding page {n} of the {w}', "next to the error message on the {w}", "under the {w} board", "#{n}", 'that says "{w}"', "by the script {w}", "and the {w} template", "[{w}]", "({w})", "& the {w}"]
 
 BITS = 18
-SHAPES = [(0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 1, 2, 3, 4)]
+SHAPES = [(0, 1), (0, 1, 2), (0, 1, 2, 3)]
 #: Most labelled texts of either class that the training sample holds, and the part of the videos kept for validation.
 MOST_A_CLASS = 6000
 HELD_OUT = 5
@@ -116,25 +117,27 @@ def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def features(parts: list[str]) -> grams.Grams:
-    """Each piece's set of n-grams (in lower case, and of the shape: letters and digits as A, a, 0), its words, and one
+    """Each piece's n-grams (in lower case, and of the shape: letters and digits as A, a, 0), its words and pairs of words, and one
     gram each for length, first letter, case, end and number of words. Weights are 1: a little residue counts in a long piece too."""
     low = grams.hashed([p.lower() for p in parts], SHAPES, BITS)
     shape = grams.hashed([p.translate(_SHAPE) for p in parts], SHAPES[1:], BITS)
-    extra, owner = [], []
+    words, of, extra, owner = [], [], [], []
     for i, t in enumerate(parts):
         s = t.strip(START + END + " ")
-        words = t.lower().split()
-        own = [f"length={int(np.log2(len(s) + 1))}", f"first={'u' if s[:1].isupper() else 'l' if s[:1].islower() else 'o'}", f"case={s.isupper()}", f"end={s[-1:] if not s[-1:].isalnum() else 'w'}", f"words={min(len(words), 12)}"]
-        own += [f"w={w}" for w in words] + [f"p={a} {b}" for a, b in zip(words, words[1:])]
-        extra += map(hash_name, own)
-        owner += [i] * len(own)
-    salt = np.int64(0x15A5A)
-    ids = np.concatenate([low.ids, shape.ids ^ salt, np.array(extra, np.int64)])
-    text = np.concatenate([low.text, shape.text, np.array(owner, np.int64)])
-    both = np.unique((text << BITS) | ids)
-    return grams.Grams(both & ((1 << BITS) - 1), both >> BITS, np.ones(len(both)), len(parts))
-
-
+        own = t.lower().split()
+        words += own
+        of += [i] * len(own)
+        extra += map(hash_name, (f"length={len(s).bit_length()}", f"first={'u' if s[:1].isupper() else 'l' if s[:1].islower() else 'o'}", f"case={s.isupper()}", f"end={s[-1:] if not s[-1:].isalnum() else 'w'}", f"words={min(len(own), 12)}"))
+        owner += [i] * 5
+    h, of = np.fromiter(map(hash_name, words), np.int64, len(words)), np.array(of, np.int64)
+    pair = ((h[:-1] * 31 + h[1:]) * 0x9E3779B1 >> 7) & ((1 << BITS) - 1)
+    together = of[:-1] == of[1:]
+    ids = np.concatenate([low.ids, shape.ids ^ np.int64(0x15A5A), np.array(extra, np.int64), h, pair[together]])
+    text = np.concatenate([low.text, shape.text, np.array(owner, np.int64), of, of[:-1][together]])
+    return grams.Grams(ids, text, np.ones(len(ids)), len(parts))
+
+
+@lru_cache(maxsize=200_000)
 def hash_name(name: str) -> int:
     return zlib.crc32(name.encode()) >> (32 - BITS)
 
@@ -191,7 +194,8 @@ def _fit(clean: list[str], dirty: list[str]) -> Model:
     if not len(y):
         return Model(np.zeros(1 << BITS), -30.0)
     g = features(parts)
-    w, bias = grams.logistic(g.ids, g.text, g.weight, y, BITS, l2=L2, epochs=EPOCHS, rate=0.1)
+    order = np.argsort(g.text, kind="stable")
+    w, bias = grams.logistic(g.ids[order], g.text[order], g.weight, y, BITS, l2=L2, epochs=EPOCHS, rate=0.1)
     return Model(w, bias)
 
 

@@ -33,6 +33,8 @@ MOST_WORD, MOST_BROKEN, RARE = 4.0, 3.0, 20
 COPY = 6.0
 #: Words at the end of a text that are aligned; texts of a bucket's block that an undecided text meets at once.
 TAIL, BLOCK = 200, 500
+#: Characters at the end of a text that an answer at its end lies within.
+END = 200
 #: So many pairs may be broadcast to the scan that fetches their texts.
 MOST_PAIRS = 1_000_000
 
@@ -48,32 +50,36 @@ ASKS = r"(?is)^[\s>\"'*]*(?:(?:q|question|you asked)\s*[:.-]\s*)?[\"']?(?:what|w
 
 
 def answer_end(text: Column) -> Column:
-    return text.rlike(ANSWER_END)
+    """Whether an answer stands at the end, looked for in the last END characters (no answer is longer), which a letter in front keeps from being a start."""
+    return F.when(F.length(text) <= END, text).otherwise(F.concat(F.lit("x"), F.substring(text, -END, END))).rlike(ANSWER_END)
 
 
 def body(text: Column) -> Column:
     """The text without closed reasoning."""
-    return F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
+    return F.when(text.contains("</think>"), F.regexp_replace(text, r"(?s)<think>.*?</think>", "")).otherwise(text)
 
 
 def _odd(text: Column, mark: str) -> Column:
-    return ((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)) % 2 == 1
+    return text.contains(mark) & (((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)) % 2 == 1)
 
 
 def open_block(text: Column) -> Column:
     """A block that is never closed: reasoning, JSON, code fence, tag, bold type or a quotation around everything."""
     rest = F.trim(body(text))
     json = rest.rlike(r"^[{\[]\s*(\"|$)") & F.get_json_object(rest, "$").isNull()
-    tag = rest.rlike(r"(?s)^<answer>(?!.*</answer>)")
+    tag = rest.startswith("<answer>") & ~rest.contains("</answer>")
     quote = rest.startswith('"') & (F.length(rest) > 1) & _odd(rest, '"')
     return rest.contains("<think>") | json | _odd(rest, "```") | tag | _odd(rest, "**") | quote
 
 
 def unfinished(text: Column) -> Column:
     """No end of a sentence and no answer at the end."""
-    rest = F.regexp_replace(body(text), r"\s+$", "")
+    rest = F.rtrim(body(text), F.lit(_SPACE))
     json = rest.rlike(r"^\s*[{\[]") & F.get_json_object(rest, "$").isNotNull()
-    return rest.rlike(r"[\p{L}\d]") & ~rest.rlike(CLOSED) & ~answer_end(rest) & ~F.regexp_replace(rest, r"</?\w+>", "").rlike(STAND_IN) & ~json
+    return ~rest.rlike(CLOSED) & ~answer_end(rest) & rest.rlike(r"[\p{L}\d]") & ~F.regexp_replace(rest, r"</?\w+>", "").rlike(STAND_IN) & ~json
+
+
+_SPACE = " \t\n\r\x0b\x0c"
 
 
 def open_sentence(text: Column) -> Column:
@@ -241,7 +247,8 @@ def open_ends(preds: DataFrame) -> DataFrame:
     """qa_id, model, tid, text, structural of every message that shows a sign of being cut, each message and text once; one pass."""
     text = F.col("raw_response")
     rows = preds.select(key_text(preds["qa_id"]).alias("qa_id"), key_text(preds["model"]).alias("model"), text).where("qa_id is not null and model is not null and raw_response is not null")
-    rows = rows.withColumn("structural", open_block(text) | text.rlike(ESCAPE))
+    tail = F.when(F.length(text) <= END, text).otherwise(F.substring(text, -END, END))
+    rows = rows.withColumn("structural", open_block(text) | tail.rlike(ESCAPE))
     return rows.where(F.col("structural") | unfinished(text)).select("qa_id", "model", F.xxhash64("raw_response").alias("tid"), text.alias("text"), "structural").distinct()
 
 
@@ -260,7 +267,7 @@ def judged(preds: DataFrame, items: DataFrame, stats: DataFrame | None = None, m
     sentence = open_sentence(text)
     closed = F.size(F.regexp_extract_all(body(text), F.lit(r"([.!?。！？][\"'”’»)*_`]*)(?=\s)"), 1))
     ends = rest.select("qa_id", "model", "tid", closing_word(text).alias("word"), sentence.rlike(ASKS).alias("asks"), F.when(closed > 0, F.least(F.lit(MOST_STYLE), SEVERAL + EACH * (closed - 1))).otherwise(ONE_SENTENCE).alias("style"), plain(body(text)).alias("response"))
-    ends = with_odds(ends, closing_words(texts, "text") if stats is None else stats).join(item_texts(items).withColumnRenamed("qa", "qa_id"), "qa_id", "left")
+    ends = with_odds(ends, cut(closing_words(texts, "text")) if stats is None else stats).join(item_texts(items).withColumnRenamed("qa", "qa_id"), "qa_id", "left")
     response = F.regexp_replace("response", r"^(?:q|question|you asked|answer|option) ", "")
     repeats = F.coalesce(F.size(F.array_except(F.split(response, " "), F.split(F.concat_ws(" ", "said", F.lit("a b c d")), " "))) == 0, F.lit(False))
     # without its item, a question that ends on a word that closes sentences counts as repeated
