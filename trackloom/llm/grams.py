@@ -26,15 +26,14 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint32).astype(np.uint64), np.repeat(np.arange(len(texts)), lengths)
 
 
-def hashed(texts: list[str], shapes: list[tuple[int, ...]], bits: int, decay: float = 1.0) -> Grams:
+def hashed(texts: list[str], shapes: list[tuple[int, ...]], bits: int, weights: list[float] | None = None) -> Grams:
     """One gram per position and shape; a shape lists the offsets of the characters taken, (0, 1, 2) or with gaps (0, 2, 3).
 
-    Shapes with the same number of characters share ids, so a gapped gram equals the plain gram of its characters. The weight is decay to the
-    power of the span.
+    Shapes with the same number of characters share ids, so a gapped gram equals the plain gram of its characters. weights: one a shape, by default 1.
     """
     point, text = code_points(texts)
     ids, owner, weight = [], [], []
-    for shape in shapes:
+    for of, shape in enumerate(shapes):
         last = shape[-1]
         if len(point) <= last:
             continue
@@ -45,7 +44,7 @@ def hashed(texts: list[str], shapes: list[tuple[int, ...]], bits: int, decay: fl
             h ^= h >> np.uint64(29)
         ids.append((h >> np.uint64(64 - bits))[inside].astype(np.int64))
         owner.append(text[: len(inside)][inside])
-        weight.append(np.full(int(inside.sum()), decay ** (last + 1)))
+        weight.append(np.full(int(inside.sum()), weights[of] if weights else 1.0))
     if not ids:
         return Grams(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), len(texts))
     return Grams(np.concatenate(ids), np.concatenate(owner), np.concatenate(weight), len(texts))
