@@ -5,12 +5,15 @@ document's virtual finish time is the tokens of its source up to and with it, di
 documents ordered by that time and cut at the total budget give the mix: while a source lasts, it has its share at
 any point of the order; when it is exhausted the others go on in proportion to theirs.
 
-Running sums over a source, and over everything, are taken in two levels (sums of hash or time buckets, then within
-a bucket), so no task ever holds a source, however large its part is.
+Running sums over a source are taken in two levels (sums of hash buckets, then within a bucket), so no task ever holds a source, however
+large its part is. The time of the cut is known beforehand to within a few documents: at time t a source has given between share * t tokens
+and one document less, so documents below one bound are in, those above another are out, and only the few between are ordered and summed. The mix comes out
+range-sorted by finish time.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from trackloom.session import cut
 
 #: Rows that one bucket of a running sum holds on average.
 BUCKET_ROWS = 200_000
+#: Most sources of the targets.
+MOST_SOURCES = 10_000
 
 
 def _hash(seed: int, *cols: Column) -> Column:
@@ -65,13 +70,39 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     placed = placed.join(total.select("source", "own"), "source")
     copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
     copies = copies.withColumn("finish", ((F.col("copy") - 1) * F.col("own") + F.col("up_to")) / F.col("share"))
-    # no document beyond this time can be within the budget: by then some source alone, or all together, have used it up
-    last = total.join(targets, "source").select((F.least(F.col("own") * F.col("repeats"), F.lit(budget)) / F.col("share")).alias("t")).agg(F.max("t")).first()[0]
-    steps = buckets * 8
-    timed = copies.select("doc_id", "source", "copy", "tokens", "finish")
+    # tokens given by time t lie between the sources' shares of t, as far as these last, and one document a source less
+    facts = total.join(targets, "source").join(docs.groupBy("source").agg(F.max("tokens").alias("longest")), "source").limit(MOST_SOURCES + 1).toPandas()
+    if len(facts) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    most, share = (facts["own"] * facts["repeats"]).to_numpy(float), facts["share"].to_numpy(float)
+    sure, open_ = time_of(most, share, budget), time_of(most, share, budget + float(facts["longest"].sum()))
+    slack = 1e-9  # of rounding
+    needed = placed.withColumn("copies", F.least(F.col("repeats"), F.floor(F.lit(min(open_, 1e18)) * F.col("share") / F.col("own")) + 1).cast("int"))
+    copies = needed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    timed = copies.withColumn("finish", ((F.col("copy") - 1) * F.col("own") + F.col("up_to")) / F.col("share")).select("doc_id", "source", "copy", "tokens", "finish")
     order = [F.col("finish"), F.col("source"), F.col("doc_id"), F.col("copy")]
-    placed_all = running_sum(timed, [], F.least(F.lit(steps), (F.col("finish") / F.lit(last) * steps)).cast("int"), order, "tokens", "total")
-    return placed_all.where(F.col("total") <= budget).select("doc_id", "source", "copy", "tokens", "finish")
+    if np.isinf(sure):
+        chosen = timed
+    else:
+        timed = cut(timed.where(F.col("finish") <= open_ * (1 + slack)))
+        inside = timed.where(F.col("finish") <= sure * (1 - slack))
+        spent = inside.agg(F.sum("tokens")).first()[0] or 0
+        # the documents that may cross the budget: at most a few a source
+        edge = timed.where(F.col("finish") > sure * (1 - slack)).withColumn("total", F.sum("tokens").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        chosen = inside.unionByName(edge.where(F.col("total") + spent <= budget).drop("total"))
+    return chosen.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def time_of(most: np.ndarray, share: np.ndarray, tokens: float) -> float:
+    """The time at which sources that give share * t tokens, up to most, have given so many together; infinite if they never do."""
+    ends = np.sort(most / share)
+    given = np.array([np.minimum(most, share * t).sum() for t in ends])
+    i = int(np.searchsorted(given, tokens))
+    if i == len(ends):
+        return float("inf")
+    before, start = (given[i - 1], ends[i - 1]) if i else (0.0, 0.0)
+    rate = share[most / share > start].sum()
+    return float(start + (tokens - before) / rate)
 
 
 def shares(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -1,15 +1,13 @@
 """A sample whose shares of several fields follow targets.
 
-Method: mergeable reservoirs. One pass over the items keeps, for each combination of listed categories (a cell), the
-items with the smallest hashes, up to the sample size, together with the cell's count. Reservoirs of different tasks merge
-by keeping the smallest hashes again, in two levels, so no task sees a whole cell. From the final
-counts the feasible quota of every cell is found, and each reservoir is trimmed to its quota by hash, which is a uniform draw.
+Method: mergeable reservoirs. The reservoir of a cell (a combination of listed categories) is the part of its items with the smallest
+hashes; it is kept as counts of hash ranges, which merge by addition before and after the shuffle and stay small however large
+the sample is. From the final counts the feasible quota of every cell is found, and the reservoir is trimmed to it by hash, which is a uniform
+draw: ranges below the quota are taken whole, and only the range that the quota falls in is ordered. No task holds a cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,28 +15,8 @@ from pyspark.sql import functions as F
 
 from trackloom.session import cut
 
-RESERVOIR = "cell int, h bigint, id string, seen bigint"
-#: Merges of the first level take so many tasks' reservoirs each.
-SALTS = 32
-
-
-def _reservoirs(size: int):
-    """Per cell the size smallest (h, id) of a partition, and in one extra row with a null h its count."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, seen = None, pd.Series(dtype="int64")
-        for b in batches:
-            seen = seen.add(b.groupby("cell").size(), fill_value=0)
-            held = b if held is None else pd.concat([held, b])
-            if len(held) > 4 * size + 100_000:
-                held = held.sort_values(["cell", "h", "id"]).groupby("cell").head(size)
-        if held is not None:
-            held = held.sort_values(["cell", "h", "id"]).groupby("cell").head(size)
-            yield pd.DataFrame({"cell": held["cell"].astype("int32"), "h": held["h"].astype("Int64"), "id": held["id"], "seen": pd.Series(0, index=held.index, dtype="int64")})
-        if len(seen):
-            yield pd.DataFrame({"cell": seen.index.astype("int32"), "h": pd.Series([None] * len(seen), dtype="Int64"), "id": None, "seen": seen.to_numpy().astype("int64")})
-
-    return run
+#: Items of a hash range on average (over all cells), and least number of ranges.
+RANGE_ITEMS, LEAST_RANGES = 200_000, 64
 
 
 def quotas(count: np.ndarray, axes: list[np.ndarray], share: list[np.ndarray], least: list[np.ndarray], size: int, rounds: int = 2000) -> np.ndarray:
@@ -68,16 +46,15 @@ def quotas(count: np.ndarray, axes: list[np.ndarray], share: list[np.ndarray], l
             break
     base = np.floor(x + 1e-9).astype(int)
     goals_i = [np.round(g).astype(int) for g in goals]
-    # the rest goes, one by one, to the cell whose categories lack most; each step shortens the distance to the goals
-    for _ in range(int(min(size, count.sum())) + len(count)):
-        if base.sum() >= min(size, count.sum()):
-            break
+    # the rest goes, in steps that shrink to single items, to the cell whose categories lack most; each step shortens the distance to the goals
+    whole = int(min(size, count.sum()))
+    while base.sum() < whole:
         lack = sum(np.clip(g - np.bincount(of, weights=base, minlength=len(g)), -1, None)[of] for of, g in zip(axes, goals_i))
         score = np.where(base < count, lack + 1e-3 * (x - base), -np.inf)
         best = int(np.argmax(score))
         if score[best] == -np.inf:
             break
-        base[best] += 1
+        base[best] += int(min(max(1, (whole - base.sum()) // (4 * len(count))), count[best] - base[best]))
     # least numbers first: move single items from well supplied cells
     for of, low in zip(axes, least):
         there = np.bincount(of, weights=count, minlength=len(low)).astype(int)
@@ -94,6 +71,29 @@ def quotas(count: np.ndarray, axes: list[np.ndarray], share: list[np.ndarray], l
                 base[into[np.argmax(count[into] - base[into])]] += 1
                 if len(out):
                     base[out[np.argmax(base[out])]] -= 1
+    return _nearer(base, count, axes, goals_i, least)
+
+
+def _nearer(base: np.ndarray, count: np.ndarray, axes: list[np.ndarray], goals: list[np.ndarray], least: list[np.ndarray], most: int = 5000) -> np.ndarray:
+    """Single items are moved between cells while that brings the categories nearer to their goals, taken relative to the goals, so that rare ones count."""
+    if not len(base):
+        return base
+    base = base.copy()
+    for _ in range(most):
+        have = [np.bincount(of, weights=base, minlength=len(g)) for of, g in zip(axes, goals)]
+        cost = lambda h, g: np.abs(h - g) / np.maximum(g, 1)
+        add = sum((cost(h + 1, g) - cost(h, g))[of] for of, h, g in zip(axes, have, goals))
+        free = sum((cost(h - 1, g) - cost(h, g))[of] for of, h, g in zip(axes, have, goals))
+        may = (base > 0) & np.all([(h - 1 >= np.minimum(low, h))[of] for of, h, low in zip(axes, have, least)], axis=0)
+        into = int(np.argmin(np.where(base < count, add, np.inf)))
+        # categories that both cells share keep their number
+        same = sum(np.where(of == of[into], (cost(h + 1, g) - cost(h, g))[of[into]] + (cost(h - 1, g) - cost(h, g))[of[into]], 0) for of, h, g in zip(axes, have, goals))
+        gain = np.where(may & (np.arange(len(base)) != into), add[into] + free - same, np.inf)
+        out = int(np.argmin(gain))
+        if base[into] >= count[into] or gain[out] > -1e-9:
+            break
+        base[into] += 1
+        base[out] -= 1
     return base
 
 
@@ -122,11 +122,15 @@ def draw(items: DataFrame, targets: DataFrame, fields: list[str], size: int | No
         cell = F.when(cell.isNull() | (index < 0), None).otherwise(cell * len(names) + index)
     once = items.groupBy(key).agg(*(F.min(f).alias(f) for f in fields))
     narrow = once.select(cell.cast("int").alias("cell"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).cast("string").alias("id")).where("cell is not null and id is not null")
+    narrow = cut(narrow)
+    n = narrow.count()
     if size is None:
         floor = max((int(want[f]["least"].sum()) for f in fields), default=0)
-        size = max(floor, round(fraction * narrow.count()))
-    kept = cut(narrow.mapInPandas(_reservoirs(size), RESERVOIR))
-    counts = kept.where("h is null").groupBy("cell").agg(F.sum("seen").alias("n")).toPandas().sort_values("cell")
+        size = max(floor, round(fraction * n))
+    ranges = max(LEAST_RANGES, n // RANGE_ITEMS + 1)
+    ranged = narrow.withColumn("range", (F.shiftrightunsigned("h", 1) / F.lit(2.0**63) * ranges).cast("int"))
+    reservoirs = cut(ranged.groupBy("cell", "range").agg(F.count(F.lit(1)).alias("n")))
+    counts = reservoirs.groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
     cells, count = counts["cell"].to_numpy(int), counts["n"].to_numpy(float)
     axes, rest = [], cells.copy()
     for f in reversed(fields):
@@ -137,10 +141,13 @@ def draw(items: DataFrame, targets: DataFrame, fields: list[str], size: int | No
     quota = quotas(count, axes, share, least, size) if len(cells) else np.zeros(0, int)
 
     limit = spark.createDataFrame([(int(c), int(q)) for c, q in zip(cells, quota)], "cell int, quota bigint")
-    level = kept.where("h is not null").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    first = level.withColumn("r", F.row_number().over(Window.partitionBy("cell", "salt").orderBy("h", "id"))).where(F.col("r") <= size)
-    merged = first.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("h", "id"))).where(F.col("r") <= size)
-    drawn = merged.join(F.broadcast(limit), "cell").where("r <= quota")
+    up_to = F.sum("n").over(Window.partitionBy("cell").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    edges = reservoirs.join(F.broadcast(limit), "cell").withColumn("up_to", up_to).where("up_to - n < quota")
+    # of the last range of each cell only what the quota leaves
+    edges = edges.select("cell", "range", F.when(F.col("up_to") > F.col("quota"), F.col("quota") - F.col("up_to") + F.col("n")).alias("rest"))
+    kept = ranged.join(edges, ["cell", "range"])
+    last = kept.where("rest is not null").withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(F.shiftrightunsigned("h", 1), "h", "id"))).where("r <= rest")
+    drawn = kept.where("rest is null").unionByName(last.drop("r"))
     index, columns = F.col("cell"), []
     for f in reversed(fields):
         names = want[f]["category"].tolist() or [""]
