@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom import vocab as V
 from trackloom.operators import events as E
 from trackloom.operators import frames as R
+from trackloom.functions.labels import label_parts
 from trackloom.operators.ranking import ordinal
+from trackloom.operators.selection import merge_steps, merged_frames
 from trackloom.plans import sqltext as T
 from trackloom.session import cut
 from trackloom.tables import load
@@ -99,8 +101,6 @@ def asof_prev_event(spark: SparkSession, d: str) -> DataFrame:
 
 def identity_candidates(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """Siblings that could be mistaken for a returning object: same noun, visible while it was hidden, elsewhere when it returns."""
-    from trackloom.functions.labels import label_parts
-
     f = _frames(spark, d)
     hidden = _last_hidden(_events(spark, d, made)).where(F.col("e") - F.col("s") >= V.SIBLING_HIDDEN_S * V.FPS)
     names = R.objects(_docs(spark, d)).select("video_id", "obj_id", label_parts(F.col("label")).alias("p")).select("video_id", "obj_id", F.col("p.base").alias("base"), F.col("p.modifiers").alias("mods"))
@@ -132,13 +132,37 @@ def swap_detection(spark: SparkSession, d: str) -> DataFrame:
     return _swaps(_frames(spark, d)).select("video_id", "obj_id", F.col("before").alias("frame_before"), F.col("frame").alias("frame_after"), F.round("jump_px", 6).alias("jump_px"))
 
 
-def instance_confidence(spark: SparkSession, d: str) -> DataFrame:
-    f = _frames(spark, d)
+def _confidence(f: DataFrame, merges: Column = F.lit(0)) -> DataFrame:
+    """swaps, mean, ratio and confidence of every object; merges: how often fragments were joined into it."""
     swaps = _swaps(f).groupBy("video_id", "obj_id").agg(F.count(F.lit(1)).alias("swaps"))
-    one = f.groupBy("video_id", "obj_id").agg(F.coalesce(F.avg(F.when(F.col("visible"), F.coalesce("confidence", F.lit(0.0)))), F.lit(0.0)).alias("mean"), (F.count_if("visible") / F.greatest(F.lit(1), F.first("n_video"))).alias("ratio"))
+    one = f.groupBy("video_id", "obj_id").agg(F.max(merges).alias("merges"), F.count_if("visible").alias("visible_frames"), F.coalesce(F.avg(F.when(F.col("visible"), F.coalesce("confidence", F.lit(0.0)))), F.lit(0.0)).alias("mean"), (F.count_if("visible") / F.greatest(F.lit(1), F.first("n_video"))).alias("ratio"))
     out = one.join(swaps, ["video_id", "obj_id"], "left").na.fill(0, ["swaps"])
-    conf = F.col("mean") * F.greatest(F.lit(0.0), 1 - 0.25 * F.col("swaps")) * F.when(F.col("ratio") < 0.3, 0.8).otherwise(1.0)
-    return out.select("video_id", "obj_id", "swaps", F.round("mean", 6).alias("mean_confidence"), F.round("ratio", 6).alias("visible_ratio"), F.round(conf, 6).alias("confidence"))
+    penalty = lambda each, n: F.greatest(F.lit(0.0), 1 - F.lit(each) * F.col(n))
+    return out.withColumn("confidence", F.col("mean") * penalty(0.15, "merges") * penalty(0.25, "swaps") * F.when(F.col("ratio") < 0.3, 0.8).otherwise(1.0))
+
+
+def instance_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _confidence(_frames(spark, d)).select("video_id", "obj_id", "swaps", F.round("mean", 6).alias("mean_confidence"), F.round("ratio", 6).alias("visible_ratio"), F.round("confidence", 6).alias("confidence"))
+
+
+def repaired_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Track repair from end to end: short fragments dropped, fragments of one object joined and filled, then swaps and confidence of what is left."""
+    f = _frames(spark, d)
+    kept = f.join(short_fragments(spark, d).where("kept").select("video_id", "obj_id"), ["video_id", "obj_id"], "left_semi")
+    merged = merged_frames(kept, merge_steps(_mergeable(kept)))
+    return _confidence(merged, F.col("merges")).select("video_id", "obj_id", "visible_frames", "merges", "swaps", F.round("confidence", 4).alias("confidence"), (F.round("confidence", 4) >= V.CONFIDENT).alias("confident"))
+
+
+def repair_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals over all videos, and the spread of confidence (smallest, upper median, mean, largest)."""
+    n = R.objects(_docs(spark, d)).agg(F.count(F.lit(1)).alias("tracks"))
+    r = repaired_tracks(spark, d).agg(F.count(F.lit(1)).alias("kept"), F.sum("merges").alias("merges"), F.sum("swaps").alias("swaps"), F.count_if("confident").alias("confident"), F.round(F.min("confidence"), 6).alias("least"), F.round(F.avg("confidence"), 6).alias("mean"), F.round(F.max("confidence"), 6).alias("most"), F.expr("percentile_disc(0.5) within group (order by confidence)").alias("median"))
+    return r.join(F.broadcast(n)).withColumn("share", F.round(F.col("confident") / F.col("kept"), 6))
+
+
+def confident_objects(spark: SparkSession, d: str) -> DataFrame:
+    """video_id, obj_id of objects that questions of the stricter kinds may be about."""
+    return _confidence(_frames(spark, d)).where(F.round("confidence", 4) >= V.CONFIDENT).select("video_id", "obj_id")
 
 
 def short_fragments(spark: SparkSession, d: str) -> DataFrame:
@@ -146,14 +170,18 @@ def short_fragments(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("kept", F.col("visible_frames") >= F.greatest(F.lit(V.MIN_TRACK_FRAMES), F.floor(F.col("n") * V.MIN_TRACK_SHARE))).drop("n")
 
 
-def mergeable_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _mergeable(f: DataFrame) -> DataFrame:
     """Fragments of one label that don't overlap in time: the later starts soon after, near where the earlier ended."""
     v = F.when(F.col("visible"), F.col("frame"))
-    ends = _frames(spark, d).groupBy("video_id", "obj_id", "label").agg(F.first("width").alias("w"), F.first("height").alias("h"), F.min(v).alias("f0"), F.max(v).alias("f1"), *(F.min_by((F.col(f"{c}1") + F.col(f"{c}2")) / 2, v).alias(f"{c}_first") for c in "xy"), *(F.max_by((F.col(f"{c}1") + F.col(f"{c}2")) / 2, v).alias(f"{c}_last") for c in "xy"))
+    ends = f.groupBy("video_id", "obj_id", "label").agg(F.first("width").alias("w"), F.first("height").alias("h"), F.min(v).alias("f0"), F.max(v).alias("f1"), *(F.min_by((F.col(f"{c}1") + F.col(f"{c}2")) / 2, v).alias(f"{c}_first") for c in "xy"), *(F.max_by((F.col(f"{c}1") + F.col(f"{c}2")) / 2, v).alias(f"{c}_last") for c in "xy"))
     a = ends.select("video_id", "label", "w", "h", F.col("obj_id").alias("obj_a"), F.col("f1").alias("a_end"), F.col("x_last").alias("ax"), F.col("y_last").alias("ay"))
     b = ends.select("video_id", "label", F.col("obj_id").alias("obj_b"), F.col("f0").alias("b_start"), F.col("x_first").alias("bx"), F.col("y_first").alias("by"))
     both = a.join(b, ["video_id", "label"]).where(f"obj_a <> obj_b and a_end < b_start and b_start - a_end <= {V.MERGE_GAP_S * V.FPS}")
-    return both.withColumn("jump", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("jump") <= V.MERGE_JUMP * F.hypot("w", "h")).select("video_id", "obj_a", "obj_b", (F.col("b_start") - F.col("a_end")).alias("gap"), F.round("jump", 6).alias("jump_px"))
+    return both.withColumn("jump_px", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).where(F.col("jump_px") <= V.MERGE_JUMP * F.hypot("w", "h")).select("video_id", "obj_a", "obj_b", (F.col("b_start") - F.col("a_end")).alias("gap"), "jump_px")
+
+
+def mergeable_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _mergeable(_frames(spark, d)).withColumn("jump_px", F.round("jump_px", 6))
 
 
 def event_counts_map(spark: SparkSession, d: str) -> DataFrame:
@@ -202,15 +230,29 @@ def pass_rate_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phenomenon_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve flags a video: which kinds of question its events, pairs and objects can carry."""
     e = _events(spark, d)
     c = F.col
     per = E.own(e).groupBy("video_id", "obj_id", "type").agg(F.count(F.lit(1)).alias("n"))
     chain = per.where("type <> 'state_change'").groupBy("video_id", "obj_id").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m"))
     chain = chain.groupBy("video_id").agg(F.max("k").alias("k"))
     most = per.groupBy("video_id").agg(F.max("n").alias("m"))
-    w = _counts(e).join(chain, "video_id", "left").join(most, "video_id", "left").na.fill(0)
+    twins = identity_candidates(spark, d, e).groupBy("video_id").agg(F.count(F.lit(1)).alias("twins"))
+    base = R.objects(_docs(spark, d)).select("video_id", "obj_id", label_parts(F.col("label"))["base"].alias("base"))
+    seen = pair_covisibility(spark, d).where("ratio >= 0.3").join(base.withColumnRenamed("obj_id", "obj_a").withColumnRenamed("base", "base_a"), ["video_id", "obj_a"]).join(base.withColumnRenamed("obj_id", "obj_b").withColumnRenamed("base", "base_b"), ["video_id", "obj_b"])
+    pairs = seen.where("base_a <> '' and base_b <> '' and base_a <> base_b").groupBy("video_id").agg(F.count(F.lit(1)).alias("pairs"))
+    sure = confident_objects(spark, d).groupBy("video_id").agg(F.count(F.lit(1)).alias("sure"))
+    w = _counts(e)
+    for x in (chain, most, twins, pairs, sure):
+        w = w.join(x, "video_id", "left")
+    w = w.na.fill(0)
     kinds = sum(((c(t) > 0).cast("int") for t in V.EVENT_TYPES if t != "state_change"), F.lit(0))
-    return w.select("video_id", ((c("full_occlusion") > 0) & (c("reappear") > 0)).alias("occlusion_reappear"), ((c("exit_frame") > 0) & ((c("enter_frame") > 0) | (c("reappear") > 0))).alias("exit_reenter"), ((c("appear") > 0) | (c("disappear") > 0)).alias("appear_disappear"), (kinds >= 3).alias("multi_phenomenon"), (c("m") >= 2).alias("has_countable_event"), (c("k") >= 3).alias("has_cross_event_chain"))
+    flags = {
+        "occlusion_reappear": (c("full_occlusion") > 0) & (c("reappear") > 0), "partial_occlusion": c("partial_occlusion") > 0, "exit_reenter": (c("exit_frame") > 0) & ((c("enter_frame") > 0) | (c("reappear") > 0)),
+        "appear_disappear": (c("appear") > 0) | (c("disappear") > 0), "state_change": c("state_change") > 0, "interaction": c("interaction") > 0, "multi_phenomenon": kinds >= 3, "has_reappear_identity_candidate": c("twins") > 0,
+        "has_conditional_state_pair": c("pairs") > 0, "has_countable_event": c("m") >= 2, "has_cross_event_chain": c("k") >= 3, "has_high_confidence_objects": c("sure") >= 2,
+    }
+    return w.select("video_id", *(v.alias(k) for k, v in flags.items()))
 
 
 def percentile_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +274,7 @@ def confidence_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     event_counts, rolling_baseline, frame_state_runs, detected_events, occlusion_events, state_change_cooldown, pair_covisibility, pair_interactions, occluder_candidates, cross_event_pairs, asof_prev_event,
-    identity_candidates, visible_range, swap_detection, instance_confidence, short_fragments, mergeable_pairs, event_counts_map, timeline_stats, video_verdict, reason_histogram, pass_rate_by_source, phenomenon_profile, percentile_tiers, confidence_histogram,
+    identity_candidates, visible_range, swap_detection, instance_confidence, repaired_tracks, repair_totals, short_fragments, mergeable_pairs, event_counts_map, timeline_stats, video_verdict, reason_histogram, pass_rate_by_source, phenomenon_profile, percentile_tiers, confidence_histogram,
 )}
 
 _LABEL = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '#[0-9]+$', ''), '^\s*(the |a |an )', ''), '\s+(on|in|at|near|beside|next to|by|of|from|behind|in front of|above|below|under|over)\s+the\s+\w+$', ''))"""
@@ -301,13 +343,41 @@ SQL = {
     "video_verdict": _VERDICT + "SELECT video_id, reasons, reasons = '' AS passed, score FROM verdict",
     "reason_histogram": _VERDICT + "SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM verdict WHERE reasons <> '') GROUP BY reason",
     "pass_rate_by_source": _VERDICT + "SELECT source, count(*) AS n, count(*) FILTER (reasons = '') AS passed, round(100 * avg((reasons = '')::INT), 1) AS rate FROM verdict GROUP BY source",
-    "phenomenon_profile": T.EVENTS + f""", counts AS (SELECT video_id, {_COUNTS} FROM events_of GROUP BY 1), per AS (SELECT video_id, obj_id, type, count(*) AS n FROM events_of WHERE other IS NULL GROUP BY ALL),
-        chain AS (SELECT video_id, max(k) AS k FROM (SELECT video_id, obj_id, count(*) AS k FROM per WHERE type <> 'state_change' GROUP BY ALL) GROUP BY 1), most AS (SELECT video_id, max(n) AS m FROM per GROUP BY 1)
-        SELECT c.video_id, full_occlusion > 0 AND reappear > 0 AS occlusion_reappear, exit_frame > 0 AND (enter_frame > 0 OR reappear > 0) AS exit_reenter, appear > 0 OR disappear > 0 AS appear_disappear,
-        (appear > 0)::INT + (enter_frame > 0)::INT + (exit_frame > 0)::INT + (partial_occlusion > 0)::INT + (full_occlusion > 0)::INT + (reappear > 0)::INT + (disappear > 0)::INT + (interaction > 0)::INT >= 3 AS multi_phenomenon,
-        coalesce(m, 0) >= 2 AS has_countable_event, coalesce(k, 0) >= 3 AS has_cross_event_chain FROM counts c LEFT JOIN chain USING (video_id) LEFT JOIN most USING (video_id)""",
     "percentile_tiers": _VERDICT + """, ranked AS (SELECT score, row_number() OVER (ORDER BY score, video_id) - 1 AS r, count(*) OVER () AS n FROM verdict),
         cuts AS (SELECT max(score) FILTER (r = floor(n * 0.30)) AS p30, max(score) FILTER (r = floor(n * 0.75)) AS p75 FROM ranked)
         SELECT CASE WHEN score < p30 THEN 'easy' WHEN score < p75 THEN 'medium' ELSE 'hard' END AS tier, count(*) AS n, min(score) AS low, max(score) AS high FROM verdict, cuts GROUP BY 1""",
     "confidence_histogram": _CONFIDENCE + "SELECT CASE WHEN c < 0.3 THEN '[0,.3)' WHEN c < 0.5 THEN '[.3,.5)' WHEN c < 0.7 THEN '[.5,.7)' WHEN c < 0.9 THEN '[.7,.9)' ELSE '[.9,1)' END AS bucket, count(*) AS n FROM (SELECT round(confidence, 6) AS c FROM conf) WHERE c < 1 GROUP BY 1",
 }
+_PROFILE = f"""counts AS (SELECT video_id, {_COUNTS} FROM events_of GROUP BY 1), per AS (SELECT video_id, obj_id, type, count(*) AS n FROM events_of WHERE other IS NULL GROUP BY ALL),
+        chain AS (SELECT video_id, max(k) AS k FROM (SELECT video_id, obj_id, count(*) AS k FROM per WHERE type <> 'state_change' GROUP BY ALL) GROUP BY 1), most AS (SELECT video_id, max(n) AS m FROM per GROUP BY 1)"""
+_BASES = f"bases AS (SELECT video_id, o.obj_id AS obj_id, regexp_extract({_LABEL.format('o.label')}, '(\\S+)$', 1) AS base FROM objs)"
+SQL["phenomenon_profile"] = (
+    "WITH twins AS (SELECT video_id, count(*) AS twins FROM (" + SQL["identity_candidates"] + ") GROUP BY 1), seen AS (" + SQL["pair_covisibility"] + "), sure AS (SELECT video_id, count(*) AS sure FROM (" + SQL["instance_confidence"] + ") WHERE round(confidence, 4) >= 0.7 GROUP BY 1), "
+    + "profile AS (" + T.EVENTS + ", " + _PROFILE + """ SELECT c.*, coalesce(m, 0) AS m, coalesce(k, 0) AS k FROM counts c LEFT JOIN chain USING (video_id) LEFT JOIN most USING (video_id)), named AS (WITH """ + T.OBJECTS + ", " + _BASES + """ SELECT * FROM bases),
+    pairs AS (SELECT s.video_id, count(*) AS pairs FROM seen s JOIN named a ON a.video_id = s.video_id AND a.obj_id = s.obj_a JOIN named b ON b.video_id = s.video_id AND b.obj_id = s.obj_b WHERE s.ratio >= 0.3 AND a.base <> '' AND b.base <> '' AND a.base <> b.base GROUP BY 1)
+    SELECT video_id, full_occlusion > 0 AND reappear > 0 AS occlusion_reappear, partial_occlusion > 0 AS partial_occlusion, exit_frame > 0 AND (enter_frame > 0 OR reappear > 0) AS exit_reenter, appear > 0 OR disappear > 0 AS appear_disappear, state_change > 0 AS state_change, interaction > 0 AS interaction,
+        (appear > 0)::INT + (enter_frame > 0)::INT + (exit_frame > 0)::INT + (partial_occlusion > 0)::INT + (full_occlusion > 0)::INT + (reappear > 0)::INT + (disappear > 0)::INT + (interaction > 0)::INT >= 3 AS multi_phenomenon,
+        coalesce(twins, 0) > 0 AS has_reappear_identity_candidate, coalesce(pairs, 0) > 0 AS has_conditional_state_pair, m >= 2 AS has_countable_event, k >= 3 AS has_cross_event_chain, coalesce(sure, 0) >= 2 AS has_high_confidence_objects
+    FROM profile LEFT JOIN twins USING (video_id) LEFT JOIN pairs USING (video_id) LEFT JOIN sure USING (video_id)"""
+)
+_REPAIRED = "WITH RECURSIVE " + T.FRAMES + """, counted AS (SELECT video_id, obj_id, any_value(label) AS label, any_value(width) AS w, any_value(height) AS h, any_value(n_video) AS n_video, count(*) FILTER (visible) AS v FROM frames GROUP BY 1, 2),
+    left_over AS (SELECT * FROM counted WHERE v >= greatest(5, floor(n_video * 0.02))),
+    ends AS (SELECT f.video_id, f.obj_id, min(frame) AS f0, max(frame) AS f1, arg_min((x1 + x2) / 2.0, frame) AS xf, arg_min((y1 + y2) / 2.0, frame) AS yf, arg_max((x1 + x2) / 2.0, frame) AS xl, arg_max((y1 + y2) / 2.0, frame) AS yl FROM frames f JOIN left_over USING (video_id, obj_id) WHERE visible GROUP BY 1, 2),
+    pairs AS (SELECT a.video_id, a.obj_id AS a, b.obj_id AS b, row_number() OVER (PARTITION BY a.video_id ORDER BY sqrt(pow(a.xl - b.xf, 2) + pow(a.yl - b.yf, 2)), a.obj_id, b.obj_id) AS r
+        FROM ends a JOIN left_over la ON la.video_id = a.video_id AND la.obj_id = a.obj_id JOIN ends b ON b.video_id = a.video_id AND b.obj_id <> a.obj_id JOIN left_over lb ON lb.video_id = b.video_id AND lb.obj_id = b.obj_id AND lb.label = la.label
+        WHERE a.f1 < b.f0 AND b.f0 - a.f1 <= 6 AND sqrt(pow(a.xl - b.xf, 2) + pow(a.yl - b.yf, 2)) <= 0.15 * sqrt(pow(la.w, 2) + pow(la.h, 2))),
+    walk AS (SELECT DISTINCT video_id, 0::BIGINT AS r, []::INT[] AS gone, []::INT[] AS into_ FROM pairs
+        UNION ALL SELECT w.video_id, p.r, CASE WHEN list_contains(gone, p.a) OR list_contains(gone, p.b) THEN gone ELSE list_append(gone, p.b) END, CASE WHEN list_contains(gone, p.a) OR list_contains(gone, p.b) THEN into_ ELSE list_append(into_, p.a) END FROM walk w JOIN pairs p ON p.video_id = w.video_id AND p.r = w.r + 1),
+    steps AS (SELECT video_id, unnest(gone) AS absorbed, unnest(into_) AS kept FROM walk QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY r DESC) = 1),
+    roots AS (SELECT video_id, obj_id, obj_id AS root FROM left_over WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.video_id = left_over.video_id AND s.absorbed = left_over.obj_id)
+        UNION ALL SELECT s.video_id, s.absorbed, r.root FROM roots r JOIN steps s ON s.video_id = r.video_id AND s.kept = r.obj_id),
+    filled AS (SELECT f.video_id, r.root AS obj_id, f.frame, f.width, f.height, f.n_video, f.visible, f.confidence, f.x1, f.y1, f.x2, f.y2 FROM frames f JOIN roots r ON r.video_id = f.video_id AND r.obj_id = f.obj_id QUALIFY row_number() OVER (PARTITION BY f.video_id, r.root, f.frame ORDER BY NOT f.visible, f.obj_id <> r.root, f.obj_id) = 1),
+    ok AS (SELECT video_id, obj_id, frame, width, height, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy FROM filled WHERE visible AND x2 > x1 AND y2 > y1),
+    swaps AS (SELECT video_id, obj_id, count(*) AS n FROM (SELECT *, lag(frame) OVER w AS before, sqrt(pow(cx - lag(cx) OVER w, 2) + pow(cy - lag(cy) OVER w, 2)) AS jump FROM ok WINDOW w AS (PARTITION BY video_id, obj_id ORDER BY frame)) WHERE frame - before <= 3 AND jump > 0.35 * sqrt(pow(width, 2) + pow(height, 2)) GROUP BY 1, 2),
+    merges AS (SELECT video_id, kept, count(*) AS n FROM steps GROUP BY 1, 2),
+    rated AS (SELECT f.video_id, f.obj_id, f.v AS visible_frames, coalesce(m.n, 0) AS merges, coalesce(s.n, 0) AS swaps, f.mean * greatest(0, 1 - 0.15 * coalesce(m.n, 0)) * greatest(0, 1 - 0.25 * coalesce(s.n, 0)) * CASE WHEN f.ratio < 0.3 THEN 0.8 ELSE 1 END AS confidence
+        FROM (SELECT video_id, obj_id, count(*) FILTER (visible) AS v, coalesce(avg(CASE WHEN visible THEN coalesce(confidence, 0) END), 0) AS mean, count(*) FILTER (visible) / greatest(1, any_value(n_video))::DOUBLE AS ratio FROM filled GROUP BY 1, 2) f
+        LEFT JOIN merges m ON m.video_id = f.video_id AND m.kept = f.obj_id LEFT JOIN swaps s ON s.video_id = f.video_id AND s.obj_id = f.obj_id)"""
+SQL["repaired_tracks"] = _REPAIRED + "SELECT video_id, obj_id, visible_frames, merges, swaps, round(confidence, 4) AS confidence, round(confidence, 4) >= 0.7 AS confident FROM rated"
+SQL["repair_totals"] = _REPAIRED + """, r AS (SELECT *, round(confidence, 4) AS c FROM rated) SELECT (SELECT count(*) FROM objs) AS tracks, count(*) AS kept, sum(merges)::BIGINT AS merges, sum(swaps)::BIGINT AS swaps, count(*) FILTER (round(confidence, 4) >= 0.7) AS confident,
+    round(min(c), 6) AS least, round(avg(c), 6) AS mean, round(max(c), 6) AS most, quantile_disc(c, 0.5) AS median, round(count(*) FILTER (round(confidence, 4) >= 0.7) / count(*)::DOUBLE, 6) AS share FROM r"""

@@ -22,7 +22,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 def _preds(spark: SparkSession, d: str) -> DataFrame:
     """The last prediction of every message; only the columns that scoring needs are aggregated."""
     p = load(spark, d, "preds")
-    last = p.select(key_text(p["qa_id"]).alias("qa_id"), key_text(p["model"]).alias("model"), F.struct("delivered_at", "delivery_id", "extracted_answer", "raw_response").alias("r"))
+    last = p.select(key_text(p["qa_id"]).alias("qa_id"), key_text(p["model"]).alias("model"), F.struct("delivered_at", "delivery_id", "extracted_answer").alias("r"))
     return last.groupBy("qa_id", "model").agg(F.max("r").alias("r")).select("qa_id", "model", "r.*")
 
 

@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.operators import selection
+from trackloom.operators.frames import documents
 from trackloom.plans.events import mergeable_pairs, phenomenon_profile, video_verdict
+from trackloom.session import cut
 from trackloom.tables import load
 
-SLOTS = {"occlusion_reappear": (40, 3.0), "exit_reenter": (20, 2.0), "appear_disappear": (20, 1.0), "has_countable_event": (30, 2.0), "has_cross_event_chain": (30, 2.0)}
+# fixed values: wanted videos and weight of each slot
+SLOTS = {
+    "occlusion_reappear": (200, 1.0), "partial_occlusion": (200, 1.0), "exit_reenter": (150, 1.0), "appear_disappear": (120, 0.8), "state_change": (100, 0.6), "interaction": (250, 1.0), "multi_phenomenon": (150, 1.2),
+    "has_reappear_identity_candidate": (300, 1.5), "has_conditional_state_pair": (400, 1.3), "has_countable_event": (300, 1.3), "has_cross_event_chain": (300, 1.2), "has_high_confidence_objects": (500, 1.0),
+}
 
 
 def selected_videos(spark: SparkSession, d: str) -> DataFrame:
     """Greedy cover of phenomenon slots, then quality."""
-    profile = phenomenon_profile(spark, d).join(video_verdict(spark, d).select("video_id", "score"), "video_id")
-    return selection.select_videos(profile, SLOTS, 60)
+    doc = documents(load(spark, d, "tracks")).select("video_id", "source", F.col("metadata.duration").alias("duration"), F.size("objects").alias("n_objects"))
+    profile = phenomenon_profile(spark, d).join(video_verdict(spark, d).where("passed").select("video_id", "score"), "video_id").join(doc, "video_id")
+    return selection.select_videos(cut(profile), SLOTS, 1000)
 
 
 def merged_fragments(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from trackloom.functions.labels import label_parts
 from trackloom.functions.modifiers import holds
 from trackloom.operators import events as E
 from trackloom.operators import frames as R
-from trackloom.plans.events import _docs, _events, _frames, _last_hidden, identity_candidates, occluder_candidates
+from trackloom.plans.events import _docs, _events, _frames, _last_hidden, confident_objects, identity_candidates, occluder_candidates
 from trackloom.plans import sqltext as T
 from trackloom.plans.events import _ASOF, SQL as _EVENT_SQL
 from trackloom.tables import load
@@ -20,6 +20,13 @@ from trackloom.tables import load
 _OBJ = ["video_id", "obj_id"]
 
 
+def _sure(df: DataFrame, spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """df where the objects in the named columns are tracked with confidence."""
+    for n in names or ("obj_id",):
+        df = df.join(confident_objects(spark, d).withColumnRenamed("obj_id", n), ["video_id", n], "left_semi")
+    return df
+
+
 def _own(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     return E.own(_events(spark, d, made)).where("type <> 'state_change'")
 
@@ -83,13 +90,14 @@ def unit_mechanism(spark: SparkSession, d: str, made: DataFrame | None = None) -
 
 def unit_count(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     e = E.own(_events(spark, d, made)).where(F.col("type").isin("full_occlusion", "partial_occlusion", "reappear", "state_change") & ~holds(F.col("label"), "temporal", "count"))
+    e = _sure(e, spark, d)
     g = e.groupBy(*_OBJ, F.col("type").alias("event_type")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     return g.withColumn("answer", F.when(F.col("n") <= 4, F.col("n").cast("string")).otherwise("5 or more"))
 
 
 def unit_ordering(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """The earliest events of at least three types, all at least .5 s apart; four of them where there are four."""
-    e = _own(spark, d, made).where(~holds(F.col("label"), "temporal"))
+    e = _sure(_own(spark, d, made).where(~holds(F.col("label"), "temporal")), spark, d)
     first = e.groupBy(*_OBJ, "type").agg(F.min(F.struct("mid", "event_id")).alias("m")).select(*_OBJ, "type", "m.mid", "m.event_id")
     w = Window.partitionBy(*_OBJ)
     s = first.withColumn("r", F.row_number().over(w.orderBy("mid", "event_id"))).withColumn("gap", F.col("mid") - F.lag("mid").over(w.orderBy("mid", "event_id"))).withColumn("k", F.count(F.lit(1)).over(w)).withColumn("least", F.min("gap").over(w))
@@ -98,13 +106,13 @@ def unit_ordering(spark: SparkSession, d: str, made: DataFrame | None = None) ->
 
 
 def unit_identity(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
-    c = identity_candidates(spark, d, made)
+    c = _sure(identity_candidates(spark, d, made), spark, d, "obj_id", "sibling")
     return c.select("video_id", "obj_id", "sibling", F.col("event_id").alias("reappear_event_id"), F.lit("the same one").alias("answer"))
 
 
-def unit_occluder(spark: SparkSession, d: str, gap: float = 0.0) -> DataFrame:
+def unit_occluder(spark: SparkSession, d: str, gap: float = V.OCCLUDER_GAP) -> DataFrame:
     """Best and second occluder of a full occlusion where the best leads by at least `gap` of overlap and neither label is numbered."""
-    c = occluder_candidates(spark, d)
+    c = _sure(occluder_candidates(spark, d), spark, d)
     name = R.objects(_docs(spark, d)).select("video_id", F.col("obj_id").alias("occluder"), "label")
     top = c.where("rank <= 2").join(name, ["video_id", "occluder"])
     g = top.groupBy("video_id", "obj_id", "start_frame").agg(*(F.max(F.when(F.col("rank") == r, F.col(x))).alias(f"{x}_{r}") for r in (1, 2) for x in ("label", "iou")))
@@ -132,14 +140,15 @@ def unit_conditional_state(spark: SparkSession, d: str, made: DataFrame | None =
     before, after = F.max(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.max(v).over(w.rowsBetween(0, Window.unboundedFollowing))
     state = F.when(~F.col("visible"), F.when((before == 1) & (after == 1), "fully hidden").otherwise("not yet appeared or already gone")).when((F.col("area") > 0) & (F.col("area") / base < V.PARTIAL_RATIO), "partly hidden").otherwise("fully visible")
     at = f.select("video_id", F.col("obj_id").alias("partner"), F.col("frame").alias("anchor_frame"), state.alias("answer"))
-    pair = anchor.join(n, _OBJ).join(b, "video_id").where("partner <> obj_id and base <> b and b <> ''").join(at, ["video_id", "partner", "anchor_frame"])
+    pair = anchor.join(n, _OBJ).join(b, "video_id").where("partner <> obj_id and base <> b and b <> ''")
+    pair = _sure(pair, spark, d, "obj_id", "partner").join(at, ["video_id", "partner", "anchor_frame"])
     one = pair.withColumn("r", F.row_number().over(Window.partitionBy(*_OBJ).orderBy("t"))).where("r = 1")
     return one.select(*_OBJ, "anchor_type", "anchor_frame", "partner", "answer")
 
 
 def unit_cross_order(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """First pair of events, a second or more apart, of two objects with different nouns."""
-    e = _own(spark, d, made).where(~holds(F.col("label"), "temporal")).join(_names(spark, d).select("video_id", "obj_id", "base"), _OBJ)
+    e = _sure(_own(spark, d, made).where(~holds(F.col("label"), "temporal")), spark, d).join(_names(spark, d).select("video_id", "obj_id", "base"), _OBJ)
     a, b = (e.select("video_id", *(F.col(c).alias(f"{k}_{c}") for c in ("obj_id", "base", "event_id", "mid"))) for k in "ab")
     p = a.join(b, "video_id").where(f"b_obj_id > a_obj_id and not (a_base <> '' and a_base = b_base) and abs(a_mid - b_mid) >= {V.FPS}")
     g = p.groupBy("video_id", F.col("a_obj_id").alias("obj_a"), F.col("b_obj_id").alias("obj_b")).agg(F.min(F.struct("a_event_id", "b_event_id", "a_mid", "b_mid")).alias("m"))
@@ -172,6 +181,7 @@ _HOLDS = {
 _PARTS = r"""parsed AS (SELECT video_id, track_ord, o.obj_id AS obj_id, o.label AS label, regexp_replace(trim(regexp_replace(lower(trim(coalesce(o.label, ''))), '#[0-9]+$', '')), '^(the |a |an )', '') AS bare FROM objs),
     cored AS (SELECT *, trim(regexp_replace(bare, '\s+(?:on|in|at|near|beside|next to|by|of|from|behind|in front of|above|below|under|over)\s+the\s+\w+$', '')) AS core FROM parsed),
     names AS (SELECT video_id, track_ord, obj_id, label, CASE WHEN core <> '' THEN regexp_extract(core, '(\S+)$', 1) ELSE bare END AS base FROM cored)"""
+_SURE = "(SELECT video_id, obj_id FROM (" + _EVENT_SQL["instance_confidence"] + ") WHERE round(confidence, 4) >= 0.7)"
 _OWN = ", mine AS (SELECT * FROM events_of WHERE other IS NULL AND type <> 'state_change')"
 SQL = {
     "unit_temporal_location": T.EVENTS + _OWN + f""", k AS (SELECT *, count(*) OVER (PARTITION BY video_id, obj_id, type) AS k, row_number() OVER (PARTITION BY video_id, obj_id, type ORDER BY mid, event_id) AS r FROM mine WHERE n_video > 1 AND NOT {_HOLDS['temporal']})
@@ -191,14 +201,14 @@ SQL = {
     "unit_mechanism": _ASOF + """, once AS (SELECT video_id, obj_id, type, min(event_id) AS event_id, any_value(after_event) AS cause FROM own WHERE type IN ('reappear', 'disappear') GROUP BY 1, 2, 3 HAVING count(*) = 1)
         SELECT p.video_id, p.obj_id, 'reappear' AS scenario, p.event_id, CASE p.cause WHEN 'full_occlusion' THEN 'fully blocked' ELSE 'left the frame' END AS mechanism FROM prev p JOIN once o ON o.video_id = p.video_id AND o.obj_id = p.obj_id AND o.event_id = p.event_id
         UNION ALL SELECT video_id, obj_id, type, event_id, CASE cause WHEN 'full_occlusion' THEN 'fully blocked' ELSE 'left the frame' END FROM once WHERE type = 'disappear'""",
-    "unit_count": T.EVENTS + f"SELECT video_id, obj_id, type AS event_type, count(*) AS n, CASE WHEN count(*) <= 4 THEN count(*)::VARCHAR ELSE '5 or more' END AS answer FROM events_of WHERE other IS NULL AND type IN ('full_occlusion', 'partial_occlusion', 'reappear', 'state_change') AND NOT {_HOLDS['temporal']} AND NOT {_HOLDS['count']} GROUP BY 1, 2, 3 HAVING count(*) >= 2",
-    "unit_ordering": T.EVENTS + _OWN + f""", f AS (SELECT video_id, obj_id, type, mid, event_id FROM mine WHERE NOT {_HOLDS['temporal']} QUALIFY row_number() OVER (PARTITION BY video_id, obj_id, type ORDER BY mid, event_id) = 1),
+    "unit_count": T.EVENTS + f"SELECT video_id, obj_id, type AS event_type, count(*) AS n, CASE WHEN count(*) <= 4 THEN count(*)::VARCHAR ELSE '5 or more' END AS answer FROM events_of WHERE other IS NULL AND type IN ('full_occlusion', 'partial_occlusion', 'reappear', 'state_change') AND NOT {_HOLDS['temporal']} AND NOT {_HOLDS['count']} AND (video_id, obj_id) IN {_SURE} GROUP BY 1, 2, 3 HAVING count(*) >= 2",
+    "unit_ordering": T.EVENTS + _OWN + f""", f AS (SELECT video_id, obj_id, type, mid, event_id FROM mine WHERE NOT {_HOLDS['temporal']} AND (video_id, obj_id) IN {_SURE} QUALIFY row_number() OVER (PARTITION BY video_id, obj_id, type ORDER BY mid, event_id) = 1),
         r AS (SELECT *, row_number() OVER w AS r, mid - lag(mid) OVER w AS gap, count(*) OVER (PARTITION BY video_id, obj_id) AS k FROM f WINDOW w AS (PARTITION BY video_id, obj_id ORDER BY mid, event_id)), l AS (SELECT *, min(gap) OVER (PARTITION BY video_id, obj_id) AS least FROM r)
         SELECT video_id, obj_id, string_agg(type, ',' ORDER BY r) AS event_types, count(*) AS k FROM l WHERE k >= 3 AND least >= 1 AND r <= 4 GROUP BY 1, 2""",
-    "unit_identity": "SELECT video_id, obj_id, sibling, event_id AS reappear_event_id, 'the same one' AS answer FROM (" + _EVENT_SQL["identity_candidates"] + ")",
+    "unit_identity": "SELECT video_id, obj_id, sibling, event_id AS reappear_event_id, 'the same one' AS answer FROM (" + _EVENT_SQL["identity_candidates"] + ") WHERE (video_id, obj_id) IN " + _SURE + " AND (video_id, sibling) IN " + _SURE,
     "unit_occluder": "WITH " + T.OBJECTS + ", c AS (" + _EVENT_SQL["occluder_candidates"] + """), l AS (SELECT c.*, o.o.label AS label FROM c JOIN objs o ON o.video_id = c.video_id AND o.o.obj_id = c.occluder WHERE rank <= 2),
         g AS (SELECT video_id, obj_id, start_frame, max(label) FILTER (rank = 1) AS l1, max(label) FILTER (rank = 2) AS l2, max(iou) FILTER (rank = 1) AS i1, max(iou) FILTER (rank = 2) AS i2 FROM l GROUP BY 1, 2, 3)
-        SELECT video_id, obj_id, start_frame, l1 AS answer, l2 AS distractor FROM g WHERE i1 - i2 >= 0 AND NOT regexp_matches(l1, '#[0-9]+$') AND NOT regexp_matches(l2, '#[0-9]+$')""",
+        SELECT video_id, obj_id, start_frame, l1 AS answer, l2 AS distractor FROM g WHERE i1 - i2 >= 0.3 AND (video_id, obj_id) IN """ + _SURE + """ AND NOT regexp_matches(l1, '#[0-9]+$') AND NOT regexp_matches(l2, '#[0-9]+$')""",
     "unit_conditional_state": T.EVENTS + f""", {_PARTS}, ranked AS (SELECT *, list_position(['appear', 'reappear', 'disappear', 'exit_frame', 'enter_frame', 'full_occlusion'], type) AS rank FROM events_of WHERE other IS NULL),
         anchors AS (SELECT video_id, obj_id, type, mid FROM ranked WHERE rank > 0 QUALIFY row_number() OVER (PARTITION BY video_id, obj_id ORDER BY rank, event_id DESC) = 1),
         past AS (SELECT video_id, obj_id, frame, visible, area, list(CASE WHEN visible AND area > 0 THEN area END) OVER (PARTITION BY video_id, obj_id ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS p,
@@ -206,8 +216,8 @@ SQL = {
         based_area AS (SELECT *, list_sort(list_filter(p, lambda x: x IS NOT NULL)) AS q FROM past),
         at_frame AS (SELECT *, CASE WHEN NOT visible THEN CASE WHEN b = 1 AND a = 1 THEN 'fully hidden' ELSE 'not yet appeared or already gone' END WHEN area > 0 AND area / q[(len(q) // 2) + 1]::DOUBLE < 0.5 THEN 'partly hidden' ELSE 'fully visible' END AS answer FROM based_area)
         SELECT x.video_id, x.obj_id, x.type AS anchor_type, x.mid AS anchor_frame, s.obj_id AS partner, s.answer FROM anchors x JOIN names n ON n.video_id = x.video_id AND n.obj_id = x.obj_id JOIN names m ON m.video_id = x.video_id AND m.obj_id <> x.obj_id AND m.base <> n.base AND m.base <> ''
-        JOIN at_frame s ON s.video_id = x.video_id AND s.obj_id = m.obj_id AND s.frame = x.mid QUALIFY row_number() OVER (PARTITION BY x.video_id, x.obj_id ORDER BY m.track_ord) = 1""",
-    "unit_cross_order": T.EVENTS + _OWN + f""", {_PARTS}, j AS (SELECT e.*, n.base FROM mine e JOIN names n ON n.video_id = e.video_id AND n.obj_id = e.obj_id WHERE NOT {_HOLDS['temporal'].replace('label', 'e.label')})
+        JOIN at_frame s ON s.video_id = x.video_id AND s.obj_id = m.obj_id AND s.frame = x.mid WHERE (x.video_id, x.obj_id) IN {_SURE} AND (m.video_id, m.obj_id) IN {_SURE} QUALIFY row_number() OVER (PARTITION BY x.video_id, x.obj_id ORDER BY m.track_ord) = 1""",
+    "unit_cross_order": T.EVENTS + _OWN + f""", {_PARTS}, j AS (SELECT e.*, n.base FROM mine e JOIN names n ON n.video_id = e.video_id AND n.obj_id = e.obj_id WHERE NOT {_HOLDS['temporal'].replace('label', 'e.label')} AND (e.video_id, e.obj_id) IN {_SURE})
         SELECT a.video_id, a.obj_id AS obj_a, b.obj_id AS obj_b, a.event_id AS event_a, b.event_id AS event_b, CASE WHEN a.mid < b.mid THEN 'a' ELSE 'b' END AS first FROM j a JOIN j b ON b.video_id = a.video_id AND b.obj_id > a.obj_id AND NOT (a.base <> '' AND a.base = b.base) AND abs(a.mid - b.mid) >= 3
         QUALIFY row_number() OVER (PARTITION BY a.video_id, a.obj_id, b.obj_id ORDER BY a.event_id, b.event_id) = 1""",
     "ref_expr_features": "WITH " + T.FRAMES + """, g AS (SELECT video_id, obj_id, list_sort(list((x1 + x2) / 2.0)) AS cx, list_sort(list((y1 + y2) / 2.0)) AS cy, list_sort(list(area)) AS area, any_value(width) AS w, any_value(height) AS h FROM frames WHERE visible GROUP BY 1, 2),

@@ -28,9 +28,11 @@ def get_session(app: str = "trackloom", master: str | None = None, shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset, which only a local master may have."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root[len("file://"):], ignore_errors=True)

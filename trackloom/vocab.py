@@ -8,7 +8,7 @@ BASELINE_WINDOW, PARTIAL_RATIO, FULL_RATIO = 10, 0.50, 0.10
 MIN_PARTIAL, MIN_FULL, MIN_REAPPEAR, BORDER = 2, 2, 2, 0.05
 AREA_JUMP, POSITION_JUMP, JUMP_GAP = 0.8, 0.4, 5
 OVERLAP_IOU, MIN_OVERLAP, MAX_OVERLAP_SHARE = 0.05, 3, 0.8
-OCCLUDER_IOU, OCCLUDER_FRAMES = 0.10, 2
+OCCLUDER_IOU, OCCLUDER_FRAMES, OCCLUDER_GAP = 0.10, 2, 0.3
 # fixed values: track repair
 MIN_TRACK_FRAMES, MIN_TRACK_SHARE, MERGE_GAP_S, MERGE_JUMP, SWAP_JUMP, SWAP_FRAMES, CONFIDENT = 5, 0.02, 2, 0.15, 0.35, 3, 0.7
 # fixed values: identity candidates and video verdict
