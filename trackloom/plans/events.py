@@ -150,7 +150,7 @@ def repaired_tracks(spark: SparkSession, d: str) -> DataFrame:
     f = _frames(spark, d)
     kept = f.join(short_fragments(spark, d).where("kept").select("video_id", "obj_id"), ["video_id", "obj_id"], "left_semi")
     merged = merged_frames(kept, merge_steps(_mergeable(kept)))
-    return _confidence(merged, F.col("merges")).select("video_id", "obj_id", "visible_frames", "merges", "swaps", F.round("confidence", 4).alias("confidence"), (F.round("confidence", 4) >= V.CONFIDENT).alias("confident"))
+    return _confidence(merged, F.col("merges")).select("video_id", "obj_id", "visible_frames", "merges", "swaps", F.round(F.round("confidence", 8), 4).alias("confidence"), (F.round(F.round("confidence", 8), 4) >= V.CONFIDENT).alias("confident"))
 
 
 def repair_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -378,6 +378,6 @@ _REPAIRED = "WITH RECURSIVE " + T.FRAMES + """, counted AS (SELECT video_id, obj
     rated AS (SELECT f.video_id, f.obj_id, f.v AS visible_frames, coalesce(m.n, 0) AS merges, coalesce(s.n, 0) AS swaps, f.mean * greatest(0, 1 - 0.15 * coalesce(m.n, 0)) * greatest(0, 1 - 0.25 * coalesce(s.n, 0)) * CASE WHEN f.ratio < 0.3 THEN 0.8 ELSE 1 END AS confidence
         FROM (SELECT video_id, obj_id, count(*) FILTER (visible) AS v, coalesce(avg(CASE WHEN visible THEN coalesce(confidence, 0) END), 0) AS mean, count(*) FILTER (visible) / greatest(1, any_value(n_video))::DOUBLE AS ratio FROM filled GROUP BY 1, 2) f
         LEFT JOIN merges m ON m.video_id = f.video_id AND m.kept = f.obj_id LEFT JOIN swaps s ON s.video_id = f.video_id AND s.obj_id = f.obj_id)"""
-SQL["repaired_tracks"] = _REPAIRED + "SELECT video_id, obj_id, visible_frames, merges, swaps, round(confidence, 4) AS confidence, round(confidence, 4) >= 0.7 AS confident FROM rated"
-SQL["repair_totals"] = _REPAIRED + """, r AS (SELECT *, round(confidence, 4) AS c FROM rated) SELECT (SELECT count(*) FROM objs) AS tracks, count(*) AS kept, sum(merges)::BIGINT AS merges, sum(swaps)::BIGINT AS swaps, count(*) FILTER (round(confidence, 4) >= 0.7) AS confident,
-    round(min(c), 6) AS least, round(avg(c), 6) AS mean, round(max(c), 6) AS most, quantile_disc(c, 0.5) AS median, round(count(*) FILTER (round(confidence, 4) >= 0.7) / count(*)::DOUBLE, 6) AS share FROM r"""
+SQL["repaired_tracks"] = _REPAIRED + "SELECT video_id, obj_id, visible_frames, merges, swaps, round(round(confidence, 8), 4) AS confidence, round(round(confidence, 8), 4) >= 0.7 AS confident FROM rated"
+SQL["repair_totals"] = _REPAIRED + """, r AS (SELECT *, round(round(confidence, 8), 4) AS c FROM rated) SELECT (SELECT count(*) FROM objs) AS tracks, count(*) AS kept, sum(merges)::BIGINT AS merges, sum(swaps)::BIGINT AS swaps, count(*) FILTER (c >= 0.7) AS confident,
+    round(min(c), 6) AS least, round(avg(c), 6) AS mean, round(max(c), 6) AS most, quantile_disc(c, 0.5) AS median, round(count(*) FILTER (c >= 0.7) / count(*)::DOUBLE, 6) AS share FROM r"""

@@ -104,53 +104,6 @@ def answer_distribution(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).groupBy("format", _key_of().alias("answer")).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Text-only baselines whose success makes an item fail a necessity layer.
-LAYERS = {"layer1": "uniform-guess", "layer2": "frequency-guess", "layer3": "meadow-text-8b"}
-
-
-def _layers(spark: SparkSession, d: str) -> DataFrame:
-    s = _scored(spark, d).where(F.col("model").isin(*LAYERS.values()))
-    return s.groupBy("qa_id").agg(*(F.max(F.when(F.col("model") == m, ~F.col("correct"))).alias(k) for k, m in LAYERS.items()))
-
-
-def layer_combine(spark: SparkSession, d: str) -> DataFrame:
-    """An item passes unless some layer failed it; layers that lack it count as passed."""
-    i = _items(spark, d).select(key_text(F.col("qa_id")).alias("qa_id")).distinct().join(_layers(spark, d), "qa_id", "left")
-    ok = [F.coalesce(k, F.lit(True)) for k in LAYERS]
-    return i.select("qa_id", (ok[0] & ok[1] & ok[2]).alias("passed"))
-
-
-def layer_intersection(spark: SparkSession, d: str) -> DataFrame:
-    """Items that every layer has and passed."""
-    return _layers(spark, d).where("layer1 and layer2 and layer3").select("qa_id")
-
-
-def fail_attribution(spark: SparkSession, d: str) -> DataFrame:
-    j = _items(spark, d).select(key_text(F.col("qa_id")).alias("qa_id"), "dim").join(_layers(spark, d), "qa_id", "left")
-    return j.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(~F.coalesce(k, F.lit(True))).alias(f"{k}_failed") for k in LAYERS))
-
-
-def funnel_by_stage(spark: SparkSession, d: str) -> DataFrame:
-    j = _items(spark, d).select(key_text(F.col("qa_id")).alias("qa_id"), "tier").join(_layers(spark, d), "qa_id", "left").na.fill(True, list(LAYERS))
-    stages = F.array(F.lit("all"), F.when(F.col("layer1"), "after_1"), F.when(F.col("layer1") & F.col("layer2"), "after_2"), F.when(F.col("layer1") & F.col("layer2") & F.col("layer3"), "after_3"))
-    return j.select("tier", F.explode(F.filter(stages, lambda x: x.isNotNull())).alias("stage")).groupBy("stage", "tier").agg(F.count(F.lit(1)).alias("n"))
-
-
-def majority_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Most common single answer over models, and by how many; ties by answer."""
-    v = _preds(spark, d).where("size(extracted_answer) = 1").groupBy("qa_id", F.col("extracted_answer")[0].alias("answer")).agg(F.count(F.lit(1)).alias("votes"))
-    return v.groupBy("qa_id").agg(F.min_by("answer", F.struct(-F.col("votes"), F.col("answer"))).alias("answer"), F.max("votes").alias("votes"))
-
-
-def probe_early_stop(spark: SparkSession, d: str) -> DataFrame:
-    """Models in name order as probes: how many until three were right or three can't be reached within eight."""
-    s = _scored(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("qa_id").orderBy("model"))).where("r <= 8")
-    w = Window.partitionBy("qa_id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("hits", F.sum(F.col("correct").cast("int")).over(w)).withColumn("last", F.count(F.lit(1)).over(Window.partitionBy("qa_id")))
-    stop = F.min(F.when((F.col("hits") >= 3) | (F.col("hits") + F.col("last") - F.col("r") < 3), F.col("r")))
-    return s.groupBy("qa_id").agg(stop.alias("probes"), (F.max("hits") < 3).alias("passed"))
-
-
 def _hash(seed: str, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *cols))
 
@@ -195,15 +148,6 @@ def option_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("qa_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), "|").alias("options"), F.min(F.when(F.col("text") == F.col("right"), F.char(64 + F.col("r")))).alias("answer"))
 
 
-def sp_rebalance(spark: SparkSession, d: str) -> DataFrame:
-    """Half the surplus of A answers flips to B, in hash order; only where A leads."""
-    i = _items(spark, d).where("format = 'sp' and correct_answer in ('A', 'B')")
-    n = i.agg(F.floor((F.count_if(F.col("correct_answer") == "A") - F.count_if(F.col("correct_answer") == "B")) / 2).alias("flips"))
-    r = i.withColumn("r", F.row_number().over(Window.partitionBy("correct_answer").orderBy(_hash("9", "qa_id")))).join(F.broadcast(n))
-    flip = (F.col("correct_answer") == "A") & (F.col("r") <= F.col("flips"))
-    return r.select("qa_id", F.when(flip, "B").otherwise(F.col("correct_answer")).alias("answer"), flip.alias("flipped"))
-
-
 def ordering_validity(spark: SparkSession, d: str) -> DataFrame:
     k = F.regexp_extract("format", r"([0-9]+)$", 1).cast("int")
     o = F.col("correct_order")
@@ -296,7 +240,7 @@ def registry_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    extracted_answers, extraction_agreement, preds_last_wins, score_items, metrics_overall, metrics_by_group, metrics_grouping_sets, metrics_macro_dim, metrics_tier_weighted, metrics_hda, frequency_baseline, answer_distribution, layer_combine,
-    layer_intersection, fail_attribution, funnel_by_stage, majority_vote, probe_early_stop, stratified_sample, largest_remainder, balance_answers, video_cap_roundrobin, option_shuffle, sp_rebalance, ordering_validity, item_verification,
+    extracted_answers, extraction_agreement, preds_last_wins, score_items, metrics_overall, metrics_by_group, metrics_grouping_sets, metrics_macro_dim, metrics_tier_weighted, metrics_hda, frequency_baseline, answer_distribution,
+    stratified_sample, largest_remainder, balance_answers, video_cap_roundrobin, option_shuffle, ordering_validity, item_verification,
     label_parse, sibling_groups, label_numbering, resume_todo, shard_slice, frame_sampling, hallucination_roll, subset_overlap, light_polish, clean_projection, registry_status,
 )}

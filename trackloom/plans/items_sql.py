@@ -11,8 +11,6 @@ SCORED = f"""WITH {ITEMS}, {PREDS}, scored AS (
         CASE WHEN hallucination IN ('variant_a', 'variant_b') THEN hallucination WHEN has_hallucination_distractor THEN 'distractor_only' ELSE 'clean' END AS bucket, p.extracted_answer IS NULL AS invalid,
         coalesce(CASE WHEN i.format LIKE 'ordering%' THEN p.extracted_answer = i.correct_order ELSE p.extracted_answer[1] = i.correct_answer END, false) AS correct
     FROM items i JOIN latest p ON p.qa_id = lower(trim(i.qa_id)))"""
-LAYERS = SCORED + """, layers AS (SELECT qa_id, bool_or(NOT correct) FILTER (model = 'uniform-guess') AS l1, bool_or(NOT correct) FILTER (model = 'frequency-guess') AS l2, bool_or(NOT correct) FILTER (model = 'meadow-text-8b') AS l3
-    FROM scored WHERE model IN ('uniform-guess', 'frequency-guess', 'meadow-text-8b') GROUP BY qa_id), joined AS (SELECT lower(trim(i.qa_id)) AS qa_id, dim, tier, coalesce(l1, true) AS l1, coalesce(l2, true) AS l2, coalesce(l3, true) AS l3 FROM items i LEFT JOIN layers l ON l.qa_id = lower(trim(i.qa_id)))"""
 _ANSWER = "coalesce(array_to_string(correct_order, ','), correct_answer)"
 _W, _N = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 _EXTRACT = rf"""WITH trimmed AS (SELECT *, regexp_replace(coalesce(raw_response, ''), '^\s+|\s+$', '', 'g') AS t FROM preds),
@@ -46,14 +44,6 @@ SQL = {
     "metrics_hda": SCORED + "SELECT model, count(*) FILTER (bucket LIKE 'variant%') AS n, round(count(*) FILTER (bucket LIKE 'variant%' AND correct) / nullif(count(*) FILTER (bucket LIKE 'variant%'), 0)::DOUBLE, 6) AS hda FROM scored GROUP BY model",
     "frequency_baseline": f"WITH {ITEMS} SELECT format, {_ANSWER} AS answer, count(*) AS n FROM items GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY format ORDER BY count(*) DESC, min(qa_id)) = 1",
     "answer_distribution": f"WITH {ITEMS} SELECT format, {_ANSWER} AS answer, count(*) AS n FROM items GROUP BY 1, 2",
-    "layer_combine": LAYERS + "SELECT qa_id, l1 AND l2 AND l3 AS passed FROM joined",
-    "layer_intersection": LAYERS + "SELECT qa_id FROM layers WHERE l1 AND l2 AND l3",
-    "fail_attribution": LAYERS + "SELECT dim, count(*) AS n, count(*) FILTER (NOT l1) AS layer1_failed, count(*) FILTER (NOT l2) AS layer2_failed, count(*) FILTER (NOT l3) AS layer3_failed FROM joined GROUP BY dim",
-    "funnel_by_stage": LAYERS + "SELECT stage, tier, count(*) AS n FROM (SELECT 'all' AS stage, tier FROM joined UNION ALL SELECT 'after_1', tier FROM joined WHERE l1 UNION ALL SELECT 'after_2', tier FROM joined WHERE l1 AND l2 UNION ALL SELECT 'after_3', tier FROM joined WHERE l1 AND l2 AND l3) GROUP BY ALL",
-    "majority_vote": f"WITH {PREDS} SELECT qa_id, answer, votes FROM (SELECT qa_id, extracted_answer[1] AS answer, count(*) AS votes FROM latest WHERE len(extracted_answer) = 1 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY qa_id ORDER BY votes DESC, answer) = 1",
-    "probe_early_stop": SCORED + """, probes AS (SELECT qa_id, correct, row_number() OVER (PARTITION BY qa_id ORDER BY model) AS r FROM scored), few AS (SELECT * FROM probes WHERE r <= 8),
-        prefix AS (SELECT qa_id, r, sum(correct::INT) OVER (PARTITION BY qa_id ORDER BY r) AS hits, count(*) OVER (PARTITION BY qa_id) AS last FROM few)
-        SELECT qa_id, min(r) FILTER (hits >= 3 OR hits + last - r < 3) AS probes, max(hits) < 3 AS passed FROM prefix GROUP BY qa_id""",
     "stratified_sample": f"WITH {ITEMS} SELECT qa_id, dim FROM items QUALIFY row_number() OVER (PARTITION BY dim ORDER BY md5('42:' || qa_id)) <= 20",
     "largest_remainder": f"""WITH {ITEMS}, c AS (SELECT dim, count(*) AS k FROM items WHERE dim IS NOT NULL GROUP BY dim), q AS (SELECT dim, k * 100 // (SELECT sum(k) FROM c) AS base, (k * 100) % (SELECT sum(k) FROM c) AS rest FROM c)
         SELECT dim, (base + CASE WHEN row_number() OVER (ORDER BY rest DESC, dim DESC) <= 100 - (SELECT sum(base) FROM q) THEN 1 ELSE 0 END)::BIGINT AS quota FROM q""",
@@ -64,8 +54,6 @@ SQL = {
     "option_shuffle": f"""WITH {ITEMS}, o AS (SELECT qa_id, [option_a, option_b, option_c, option_d][ascii(correct_answer) - 64] AS good, unnest([option_a, option_b, option_c, option_d]) AS text, unnest([0, 1, 2, 3]) AS k FROM items
             WHERE format = 'mcq_4' AND option_a IS NOT NULL AND option_b IS NOT NULL AND option_c IS NOT NULL AND option_d IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY md5('3:' || qa_id || ':' || text), k) AS r FROM o)
         SELECT qa_id, string_agg(text, '|' ORDER BY r) AS options, min(CASE WHEN text = good THEN chr((64 + r)::INT) END) AS answer FROM r GROUP BY qa_id""",
-    "sp_rebalance": f"""WITH {ITEMS}, i AS (SELECT qa_id, correct_answer AS c, row_number() OVER (PARTITION BY correct_answer ORDER BY md5('9:' || qa_id)) AS r FROM items WHERE format = 'sp' AND correct_answer IN ('A', 'B')), n AS (SELECT floor((count(*) FILTER (c = 'A') - count(*) FILTER (c = 'B')) / 2.0) AS flips FROM i)
-        SELECT qa_id, CASE WHEN c = 'A' AND r <= flips THEN 'B' ELSE c END AS answer, c = 'A' AND r <= flips AS flipped FROM i, n""",
     "ordering_validity": f"""WITH {ITEMS} SELECT qa_id, CASE WHEN correct_order IS NULL OR len(correct_order) = 0 THEN 'missing' WHEN len(correct_order) <> regexp_extract(format, '([0-9]+)$', 1)::INT THEN 'length' WHEN len(list_distinct(correct_order)) <> len(correct_order) THEN 'repeated'
         WHEN len(list_filter(correct_order, lambda x: x NOT IN ('A', 'B', 'C', 'D'))) > 0 THEN 'letter' ELSE 'ok' END AS reason FROM items WHERE format LIKE 'ordering%'""",
     "item_verification": f"""WITH {ITEMS}, w AS (SELECT *, list_distinct(string_split(trim(regexp_replace(lower(coalesce(question, '')), '[^a-z0-9]+', ' ', 'g')), ' ')) AS a, list_distinct(string_split(trim(regexp_replace(lower(coalesce(polished_question, '')), '[^a-z0-9]+', ' ', 'g')), ' ')) AS b,

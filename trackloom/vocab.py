@@ -21,3 +21,17 @@ MIN_DIM_ITEMS = 10
 EVENT_TYPES = ["appear", "enter_frame", "exit_frame", "partial_occlusion", "full_occlusion", "reappear", "disappear", "state_change", "interaction"]
 # fixed values: weights of the video quality score
 QUALITY = {"full_occlusion": 5, "reappear": 5, "partial_occlusion": 3, "exit_frame": 3, "enter_frame": 3, "appear": 2, "disappear": 2, "state_change": 1, "interaction": 3}
+# fixed values: answers of the kinds of question, and phrases that polishing must keep
+TIMES = ["beginning", "early", "late", "end"]
+DURATIONS = ["very briefly", "briefly", "for several seconds", "for an extended period"]
+DIRECTIONS = ["moves from left to right", "moves from right to left", "moves from top to bottom", "moves from bottom to top", "stays in roughly the same place"]
+STATES = ["fully visible", "partly hidden", "fully hidden", "not yet appeared or already gone"]
+LOCKS = {
+    "temporal_location": TIMES,
+    "duration_category": DURATIONS,
+    "relative_spatial_change": DIRECTIONS,
+    "conditional_state": STATES,
+    "reappear_or_disappear": ["fully blocked", "left the frame"],
+    "reappear_identity": ["the same one", "a different one"],
+}
+MADE_UP_A, MADE_UP_B = "there is no", "never"
