@@ -51,7 +51,9 @@ def token_budgets(spark: SparkSession, d: str) -> DataFrame:
     """Most tokens a reply of each model may have, by format; the registry is a small table of models."""
     m = load(spark, d, "model_registry").select("model", "is_thinking")
     f = _items(spark, d).select("format").where("format is not null").distinct()
-    return f.join(F.broadcast(m)).select("model", "format", S.token_budget(F.col("format"), F.col("is_thinking")).alias("tokens"))
+    # the registry as one row
+    listed = m.agg(F.collect_list(F.struct("model", "is_thinking")).alias("models"))
+    return f.join(F.broadcast(listed)).select("format", F.inline("models")).select("model", "format", S.token_budget(F.col("format"), F.col("is_thinking")).alias("tokens"))
 
 
 QUERIES = {f.__name__: f for f in (extract_strict, extractor_disagreement, normalize_match, strip_thinking, token_budgets)}

@@ -35,3 +35,18 @@ LOCKS = {
     "reappear_identity": ["the same one", "a different one"],
 }
 MADE_UP_A, MADE_UP_B = "there is no", "never"
+# fixed values: what events are called in questions; {partner} is the other object's name
+VERBS = {
+    "full_occlusion": "gets fully hidden", "partial_occlusion": "gets partly hidden", "reappear": "comes back into view", "appear": "first shows up", "disappear": "disappears for good",
+    "exit_frame": "leaves the frame", "enter_frame": "enters the frame", "state_change": "changes abruptly", "interaction": "interacts with another object",
+}
+CONDITIONS = {"full_occlusion": "fully hidden from view", "partial_occlusion": "partly hidden", "exit_frame": "out of the frame", "interaction": "in contact with {partner}"}
+# fixed values: tier and format of each dimension; those asked about confident objects only; those whose subject may be made up, and in both ways
+DIMENSIONS = {
+    "temporal_location": ("tier1", "mcq_4"), "duration_category": ("tier1", "mcq_4"), "relative_spatial_change": ("tier1", "mcq_4"), "event_existence": ("tier1", "sp"), "reappear_or_disappear": ("tier2", "sp"), "event_count": ("tier2", "numerical"),
+    "event_ordering": ("tier2", "ordering"), "reappear_identity": ("tier2", "sp"), "occluder_identity": ("tier2", "sp"), "conditional_state": ("tier3", "mcq_4"), "cross_object_order": ("tier3", "sp"),
+}
+CONFIDENT_DIMS = ["event_count", "event_ordering", "reappear_identity", "occluder_identity", "conditional_state", "cross_object_order"]
+MADE_UP_DIMS = ["temporal_location", "duration_category", "relative_spatial_change", "conditional_state"]
+MADE_UP_BOTH = ["temporal_location", "duration_category", "conditional_state"]
+MADE_UP_RATE, MADE_UP_OPTION_RATE = 0.05, 0.10
