@@ -13,6 +13,7 @@ from trackloom.operators.ranking import ordinal
 from trackloom.operators.selection import merge_steps, merged_frames
 from trackloom.plans import sqltext as T
 from trackloom.session import cut
+from trackloom.session import cut as _cut
 from trackloom.tables import load
 
 
@@ -257,11 +258,11 @@ def phenomenon_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def percentile_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Score thresholds at the positions int(n * 0.30) and int(n * 0.75) of the ordered scores, and videos by tier."""
-    v = video_verdict(spark, d).select("video_id", "score")
+    v = _cut(video_verdict(spark, d).select("video_id", "score"))
     n = v.agg(F.count(F.lit(1)).alias("n"))
     ranked = ordinal(v, [F.col("score"), F.col("video_id")], "r")
     cut = ranked.join(F.broadcast(n)).agg(F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.30), F.col("score"))).alias("p30"), F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.75), F.col("score"))).alias("p75"))
-    tier = F.when(F.col("score") < F.col("p30"), "easy").when(F.col("score") < F.col("p75"), "medium").otherwise("hard")
+    tier = F.when(F.col("score") <= F.col("p30"), "easy").when(F.col("score") < F.col("p75"), "medium").otherwise("hard")
     return v.join(F.broadcast(cut)).withColumn("tier", tier).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
@@ -345,7 +346,7 @@ SQL = {
     "pass_rate_by_source": _VERDICT + "SELECT source, count(*) AS n, count(*) FILTER (reasons = '') AS passed, round(100 * avg((reasons = '')::INT), 1) AS rate FROM verdict GROUP BY source",
     "percentile_tiers": _VERDICT + """, ranked AS (SELECT score, row_number() OVER (ORDER BY score, video_id) - 1 AS r, count(*) OVER () AS n FROM verdict),
         cuts AS (SELECT max(score) FILTER (r = floor(n * 0.30)) AS p30, max(score) FILTER (r = floor(n * 0.75)) AS p75 FROM ranked)
-        SELECT CASE WHEN score < p30 THEN 'easy' WHEN score < p75 THEN 'medium' ELSE 'hard' END AS tier, count(*) AS n, min(score) AS low, max(score) AS high FROM verdict, cuts GROUP BY 1""",
+        SELECT CASE WHEN score <= p30 THEN 'easy' WHEN score < p75 THEN 'medium' ELSE 'hard' END AS tier, count(*) AS n, min(score) AS low, max(score) AS high FROM verdict, cuts GROUP BY 1""",
     "confidence_histogram": _CONFIDENCE + "SELECT CASE WHEN c < 0.3 THEN '[0,.3)' WHEN c < 0.5 THEN '[.3,.5)' WHEN c < 0.7 THEN '[.5,.7)' WHEN c < 0.9 THEN '[.7,.9)' ELSE '[.9,1)' END AS bucket, count(*) AS n FROM (SELECT round(confidence, 6) AS c FROM conf) WHERE c < 1 GROUP BY 1",
 }
 _PROFILE = f"""counts AS (SELECT video_id, {_COUNTS} FROM events_of GROUP BY 1), per AS (SELECT video_id, obj_id, type, count(*) AS n FROM events_of WHERE other IS NULL GROUP BY ALL),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import events, extraction, items, items_sql, layers, repair, selected, skeletons, training, units
+from trackloom.plans import details, events, extraction, items, items_sql, layers, repair, selected, skeletons, training, units
 
-MODULES = [(events.QUERIES, events.SQL), (items.QUERIES, items_sql.SQL), (units.QUERIES, units.SQL), (extraction.QUERIES, extraction.SQL), (layers.QUERIES, layers.SQL), (repair.QUERIES, repair.SQL), (skeletons.QUERIES, skeletons.SQL), (selected.QUERIES, selected.SQL), (training.QUERIES, training.SQL)]
+MODULES = [(events.QUERIES, events.SQL), (items.QUERIES, items_sql.SQL), (units.QUERIES, units.SQL), (extraction.QUERIES, extraction.SQL), (layers.QUERIES, layers.SQL), (repair.QUERIES, repair.SQL), (skeletons.QUERIES, skeletons.SQL), (details.QUERIES, details.SQL), (selected.QUERIES, selected.SQL), (training.QUERIES, training.SQL)]
 FLAGSHIP = events.event_counts
 
 
