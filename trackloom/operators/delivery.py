@@ -112,11 +112,16 @@ def _reader(path: str):
     return kept
 
 
-def keep_one(df: DataFrame, key: list[str], order: list[str], shards: int = 64) -> DataFrame:
+#: Files whose bitmaps one folder holds on average.
+FILES_A_SHARD = 16
+
+
+def keep_one(df: DataFrame, key: list[str], order: list[str], shards: int | None = None) -> DataFrame:
     """df without the later copies of each message; all columns as they are, no wide row is shuffled.
 
-    The rules of winners() hold. shards: how many folders the bitmaps are spread over.
+    The rules of winners() hold. shards: how many folders the bitmaps are spread over, by default by the number of files.
     """
+    shards = shards or max(16, len(df.inputFiles()) // FILES_A_SHARD)
     path = write_bitmaps(winners(df, key, order), shards)
     kept = F.pandas_udf(_reader(path), "boolean")
     file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom import vocab as V
+from trackloom.operators.delivery import keep_one
+from trackloom.session import cut
 
 OBJECT = ["video_id", "obj_id"]
 
@@ -15,9 +18,29 @@ def by_frame():
     return Window.partitionBy(*OBJECT).orderBy("frame")
 
 
+#: Copies of documents that may be broadcast by position; beyond it bitmaps per file tell them.
+MOST_COPIES = 1_000_000
+
+
 def documents(tracks: DataFrame) -> DataFrame:
-    """One document per video (copies differ in processing time only); null video ids are dropped."""
-    return tracks.where("video_id is not null").dropDuplicates(["video_id"])
+    """One document per video (copies differ in processing time only); null video ids are dropped.
+
+    Of a table in files only identifiers and positions are shuffled, and later copies are left out where they lie; the nested documents never move.
+    """
+    named = tracks.where("video_id is not null")
+    try:
+        at = tracks.select("video_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).where("video_id is not null")
+    except AnalysisException:  # not straight from files
+        return named.dropDuplicates(["video_id"])
+    first = at.groupBy("video_id").agg(F.min(F.struct("file", "row")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    few = cut(first.select("video_id", "at.*", "n"))
+    if (few.agg(F.sum("n")).first()[0] or 0) <= MOST_COPIES:
+        # of videos with copies the first row is kept; the test is by value, so that the scan stays where it is
+        wide = tracks.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")).where("video_id is not null")
+        first = F.broadcast(few.select(F.col("video_id").alias("__v"), F.col("file").alias("__f"), F.col("row").alias("__r")))
+        joined = wide.join(first, wide["video_id"] == F.col("__v"), "left")
+        return joined.where("__v is null or (__file = __f and __row = __r)").select(*tracks.columns)
+    return keep_one(tracks, ["video_id"], []).where("video_id is not null")
 
 
 def objects(docs: DataFrame) -> DataFrame:

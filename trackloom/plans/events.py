@@ -133,10 +133,10 @@ def swap_detection(spark: SparkSession, d: str) -> DataFrame:
     return _swaps(_frames(spark, d)).select("video_id", "obj_id", F.col("before").alias("frame_before"), F.col("frame").alias("frame_after"), F.round("jump_px", 6).alias("jump_px"))
 
 
-def _confidence(f: DataFrame, merges: Column = F.lit(0)) -> DataFrame:
+def _confidence(f: DataFrame, merges: Column | None = None) -> DataFrame:
     """swaps, mean, ratio and confidence of every object; merges: how often fragments were joined into it."""
     swaps = _swaps(f).groupBy("video_id", "obj_id").agg(F.count(F.lit(1)).alias("swaps"))
-    one = f.groupBy("video_id", "obj_id").agg(F.max(merges).alias("merges"), F.count_if("visible").alias("visible_frames"), F.coalesce(F.avg(F.when(F.col("visible"), F.coalesce("confidence", F.lit(0.0)))), F.lit(0.0)).alias("mean"), (F.count_if("visible") / F.greatest(F.lit(1), F.first("n_video"))).alias("ratio"))
+    one = f.groupBy("video_id", "obj_id").agg(F.max(F.lit(0) if merges is None else merges).alias("merges"), F.count_if("visible").alias("visible_frames"), F.coalesce(F.avg(F.when(F.col("visible"), F.coalesce("confidence", F.lit(0.0)))), F.lit(0.0)).alias("mean"), (F.count_if("visible") / F.greatest(F.lit(1), F.first("n_video"))).alias("ratio"))
     out = one.join(swaps, ["video_id", "obj_id"], "left").na.fill(0, ["swaps"])
     penalty = lambda each, n: F.greatest(F.lit(0.0), 1 - F.lit(each) * F.col(n))
     return out.withColumn("confidence", F.col("mean") * penalty(0.15, "merges") * penalty(0.25, "swaps") * F.when(F.col("ratio") < 0.3, 0.8).otherwise(1.0))

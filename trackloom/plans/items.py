@@ -9,6 +9,7 @@ from trackloom import vocab as V
 from trackloom.functions import answers as A
 from trackloom.functions.labels import label_parts
 from trackloom.functions.text import key_text
+from trackloom.operators import answers as O
 from trackloom.operators import frames as R
 from trackloom.operators.ranking import ordinal
 from trackloom.tables import load
@@ -124,21 +125,27 @@ def largest_remainder(spark: SparkSession, d: str, n: int = 100) -> DataFrame:
 
 
 def balance_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Per dim every answer is cut to the rarest answer's number; variant items are kept."""
-    i = _items(spark, d).where("dim is not null").withColumn("key", F.coalesce(F.get("correct_order", F.lit(0)), "correct_answer")).where("key is not null")
+    """Per dim every answer is cut to the rarest answer's number; variant items (an answer of their own) are kept."""
+    i = _items(spark, d).where("dim is not null").select("qa_id", "dim", "hallucination", F.coalesce(F.get("correct_order", F.lit(0)), "correct_answer").alias("key")).where("key is not null")
     free = i.where("hallucination is not null").select("qa_id", "dim")
     rest = i.where("hallucination is null")
-    size = rest.groupBy("dim", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.min("n").alias("least"))
-    r = rest.withColumn("r", F.row_number().over(Window.partitionBy("dim", "key").orderBy(_hash("7", "qa_id")))).join(size, "dim")
-    return r.where("r <= least").select("qa_id", "dim").unionByName(free)
+    size = rest.groupBy("dim", "key").agg(F.count(F.lit(1)).alias("n"))
+    quota = size.join(size.groupBy("dim").agg(F.min("n").alias("quota")), "dim").select(F.col("dim").alias("g"), F.col("key").alias("k"), "quota")
+    kept = O.smallest(rest, ["dim", "key"], _hash("7", "qa_id"), quota, ["g", "k"]).where("place is not null")
+    return kept.select("qa_id", "dim").unionByName(free)
 
 
 def video_cap_roundrobin(spark: SparkSession, d: str, most: int = 8) -> DataFrame:
-    """At most `most` items a video: variants first, then one dim after another."""
-    i = _items(spark, d).where("dim is not null and video_id is not null").withColumn("v", F.col("hallucination").isNotNull())
-    rn = F.row_number().over(Window.partitionBy("video_id", "v", "dim").orderBy(_hash("5", "qa_id")))
-    turn = i.select("qa_id", "video_id", "dim", "v", rn.alias("rn")).withColumn("turn", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("v"), "rn", _hash("5", "dim"), "qa_id")))
-    return turn.where((F.col("turn") <= most) | F.col("v")).select("qa_id", "video_id")
+    """At most `most` items a video: all variants, then one dim after another. Of a dim of a video only the first `most` by hash can be chosen, so the order
+    of turns is over few rows whatever the number of a video's items."""
+    i = _items(spark, d).where("dim is not null and video_id is not null").select("qa_id", "video_id", "dim", F.col("hallucination").isNotNull().alias("v"))
+    variants, rest = i.where("v"), i.where("not v")
+    taken = variants.groupBy("video_id").agg(F.count(F.lit(1)).alias("taken"))
+    quota = rest.select(F.col("video_id").alias("g"), F.col("dim").alias("k")).distinct().withColumn("quota", F.lit(most))
+    first = O.smallest(rest, ["video_id", "dim"], _hash("5", "qa_id"), quota, ["g", "k"]).where("place is not null")
+    turn = first.withColumn("turn", F.row_number().over(Window.partitionBy("video_id").orderBy("place", _hash("5", "dim"), "qa_id")))
+    kept = turn.join(taken, "video_id", "left").where(F.col("turn") + F.coalesce("taken", F.lit(0)) <= most)
+    return variants.select("qa_id", "video_id").unionByName(kept.select("qa_id", "video_id"))
 
 
 def option_shuffle(spark: SparkSession, d: str) -> DataFrame:

@@ -66,3 +66,70 @@ def parse_json_reply(text):
     bare = F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
     whole, inner = F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
     return F.to_json(F.coalesce(whole, inner))
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry from one JSON file, a list of entries or a map of them by video_id."""
+    text = spark.read.text(path, wholetext=True)
+    entry = f"struct<{', '.join(c.replace(' ', ': ', 1) for c in schemas.REGISTRY.split(', '))}>"
+    listed = text.select(F.inline(F.coalesce(F.from_json("value", f"array<{entry}>"), F.array().cast(f"array<{entry}>")))).where("video_id is not null")
+    mapped = text.where(F.trim("value").startswith("{")).select(F.explode(F.from_json("value", f"map<string, {entry}>")).alias("k", "e"))
+    return listed.unionByName(mapped.select(F.coalesce("e.video_id", "k").alias("video_id"), "e.source", "e.path", "e.format"))
+
+
+def resolve_paths(videos: DataFrame, files: DataFrame, registry: DataFrame, root: str) -> DataFrame:
+    """video_id, found: the registry's path if it is there (as it is, then below root), else root/<source>/<name>.<ext>, a folder of that name, or root/<video_id>.<ext>.
+
+    files: path of everything that exists. Null where nothing is found; a video that the registry has twice takes the smallest path.
+    """
+    reg = registry.groupBy("video_id").agg(F.min("path").alias("registered"))
+    source, name = F.substring_index("video_id", "_", 1), F.expr("substr(video_id, instr(video_id, '_') + 1)")
+    ends = ["mp4", "webm", "mov"]
+    tried = F.array(F.col("registered"), F.concat(F.lit(f"{root}/"), "registered"), *(F.concat(F.lit(f"{root}/"), source, F.lit("/"), name, F.lit(f".{e}")) for e in ends), F.concat(F.lit(f"{root}/"), source, F.lit("/"), name), *(F.concat(F.lit(f"{root}/"), "video_id", F.lit(f".{e}")) for e in ends))
+    candidates = videos.select("video_id").distinct().join(reg, "video_id", "left").select("video_id", F.posexplode(tried).alias("rank", "path")).where("path is not null")
+    hits = candidates.join(files.select("path").distinct(), "path", "left_semi").groupBy("video_id").agg(F.min_by("path", "rank").alias("found"))
+    return videos.select("video_id").distinct().join(hits, "video_id", "left")
+
+
+def read_layer_results(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """qa_id, passed, result (JSON) of a layer from its shards (path may be a pattern): documents with a list of items; of several results of an item that of the last file by name counts.
+
+    Items without the layer's result are skipped, as are files that don't parse; a result that is no object counts as passed.
+    """
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    items = F.coalesce(F.from_json(F.get_json_object("value", "$.items"), "array<string>"), F.from_json(F.get_json_object("value", "$"), "array<string>"))
+    one = text.select("file", F.posexplode(items).alias("at", "item")).select("file", "at", F.get_json_object("item", "$.qa_id").alias("qa_id"), F.get_json_object("item", f"$.{layer}_result").alias("result"))
+    last = one.where("qa_id is not null and result is not null").groupBy("qa_id").agg(F.max_by("result", F.struct("file", "at")).alias("result"))
+    return last.select("qa_id", F.coalesce(F.get_json_object("result", "$.passed").cast("boolean"), F.lit(True)).alias("passed"), "result")
+
+
+def read_items(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Items from folder/_all.json if it is there and holds any, else from the documents of single videos (qa_items of each)."""
+    text = spark.read.text(folder, wholetext=True).withColumn("name", F.col("_metadata.file_name"))
+    items = F.from_json(F.coalesce(F.get_json_object("value", "$.qa_items"), "value"), f"array<struct<{schema}>>")
+    every = text.where("name = '_all.json'").select(F.inline(items))
+    return every if every.limit(1).count() else text.where("name not like '\\_%'").select(F.inline(items))
+
+
+def in_item_order(items: DataFrame, results: DataFrame, key: str = "qa_id", order: str = "ordinal") -> DataFrame:
+    """Results of all shards joined to the items in their order; missing marks items without one. Both have one row a key."""
+    marked = results.withColumn("__there", F.lit(True))
+    return items.join(marked, key, "left").withColumn("missing", F.col("__there").isNull()).drop("__there").repartitionByRange(order).sortWithinPartitions(order)
+
+
+def write_ids(df: DataFrame, path: str, column: str = "video_id") -> None:
+    """One identifier a line, in order."""
+    df.select(F.col(column).cast("string").alias("value")).where("value is not null").repartitionByRange("value").sortWithinPartitions("value").write.mode("overwrite").text(path)
+
+
+def without_counts(df: DataFrame) -> DataFrame:
+    """Summary columns without those that end in _counts."""
+    return df.drop(*(c for c in df.columns if c.endswith("_counts")))
+
+
+def link_script(videos: DataFrame) -> DataFrame:
+    """One shell line a video: folders of pictures are linked, files copied. videos: video_id, path, format."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\\\\''")), F.lit("'"))
+    ext = F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    line = F.when(F.col("format") == "video_file", F.concat(F.lit("cp -n "), quoted(F.col("path")), F.lit(" "), quoted(F.concat("video_id", ext)))).otherwise(F.concat(F.lit("ln -sfn "), quoted(F.col("path")), F.lit(" "), quoted(F.col("video_id"))))
+    return videos.where("path is not null").select("video_id", line.alias("line"))
