@@ -161,7 +161,7 @@ def answer_baselines(spark: SparkSession, d: str) -> DataFrame:
 def model_report(spark: SparkSession, d: str) -> DataFrame:
     """One line a model, best first: accuracy in percent, overall and by tier."""
     s = _scored(spark, d).withColumn("c", F.col("correct").cast("int"))
-    pct = lambda c: F.coalesce(F.format_string("%.1f", F.round(100 * c, 1)), F.lit("--"))
+    pct = lambda c: F.when(c.isNotNull(), F.format_string("%.1f", F.round(100 * c, 1))).otherwise("--")
     return s.groupBy("model").agg(F.count(F.lit(1)).alias("n"), pct(F.avg("c")).alias("overall"), *(pct(F.avg(F.when(F.col("tier") == t, F.col("c")))).alias(t) for t in V.TIER_WEIGHTS))
 
 
