@@ -198,9 +198,19 @@ def label_numbering(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resume_todo(spark: SparkSession, d: str) -> DataFrame:
-    """Items without an error-free prediction of the model, in shards of near equal size."""
-    done = load(spark, d, "preds").where("error is null").select(key_text(F.col("qa_id")).alias("qa_id"), key_text(F.col("model")).alias("model")).where("model = 'orbit-vl-7b'").select("qa_id").distinct()
-    return _items(spark, d).select(key_text(F.col("qa_id")).alias("qa_id")).distinct().join(done, "qa_id", "left_anti")
+    """Items that some model of the registry has still to answer, with the number of such models: those without an error-free prediction."""
+    models = load(spark, d, "model_registry").select(key_text(F.col("model")).alias("model")).distinct()
+    done = load(spark, d, "preds").where("error is null").select(key_text(F.col("qa_id")).alias("qa_id"), key_text(F.col("model")).alias("model")).distinct()
+    n = models.agg(F.count(F.lit(1)).alias("models"))
+    counted = done.join(models, "model", "left_semi").groupBy("qa_id").agg(F.count(F.lit(1)).alias("done"))
+    i = _items(spark, d).select(key_text(F.col("qa_id")).alias("qa_id")).distinct().join(counted, "qa_id", "left").join(F.broadcast(n))
+    return i.select("qa_id", (F.col("models") - F.coalesce("done", F.lit(0))).alias("todo")).where("todo > 0")
+
+
+def todo(items: DataFrame, preds: DataFrame, model: str) -> DataFrame:
+    """qa_id of the items without an error-free prediction of one model."""
+    done = preds.where("error is null").where(key_text(F.col("model")) == F.lit(model.strip().lower())).select(key_text(F.col("qa_id")).alias("qa_id")).distinct()
+    return items.select(key_text(F.col("qa_id")).alias("qa_id")).distinct().join(done, "qa_id", "left_anti")
 
 
 def shard_slice(spark: SparkSession, d: str, shards: int = 4) -> DataFrame:

@@ -63,7 +63,7 @@ SQL = {
     "label_parse": f"WITH {T.OBJECTS}, {_PARTS} SELECT video_id, obj_id, label, base, modifiers, digit FROM labels",
     "sibling_groups": f"WITH {T.OBJECTS}, {_PARTS} SELECT video_id, base, count(*) AS n, string_agg(obj_id::VARCHAR, ',' ORDER BY obj_id) AS members FROM labels WHERE base <> '' GROUP BY ALL HAVING count(*) >= 2",
     "label_numbering": f"WITH {T.OBJECTS}, b AS (SELECT video_id, track_ord, o.obj_id AS obj_id, regexp_replace(o.label, '\\s*#[0-9]+$', '') AS bare FROM objs), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, bare ORDER BY track_ord) AS r FROM b) SELECT video_id, obj_id, CASE WHEN r > 1 THEN bare || ' #' || r ELSE bare END AS label FROM r",
-    "resume_todo": f"WITH {ITEMS} SELECT DISTINCT {_QA} AS qa_id FROM items WHERE {_QA} NOT IN (SELECT {_QA} FROM preds WHERE error IS NULL AND qa_id IS NOT NULL AND {_MODEL} = 'orbit-vl-7b')",
+    "resume_todo": f"WITH {ITEMS}, m AS (SELECT DISTINCT {_MODEL} AS model FROM model_registry), done AS (SELECT DISTINCT {_QA} AS qa_id, {_MODEL} AS model FROM preds WHERE error IS NULL AND qa_id IS NOT NULL), c AS (SELECT qa_id, count(*) AS done FROM done WHERE model IN (SELECT model FROM m) GROUP BY 1), i AS (SELECT DISTINCT {_QA} AS qa_id FROM items) SELECT i.qa_id, (SELECT count(*) FROM m) - coalesce(done, 0) AS todo FROM i LEFT JOIN c USING (qa_id) WHERE (SELECT count(*) FROM m) > coalesce(done, 0)",
     "shard_slice": f"WITH {ITEMS} SELECT qa_id, floor((row_number() OVER (ORDER BY qa_id) - 1) / ceil(count(*) OVER () / 4.0))::INT AS shard FROM items",
     "frame_sampling": f"WITH {T.DOCS}, n AS (SELECT video_id, len(timestamps) AS n, unnest(range(0, 8)) AS i FROM docs WHERE len(timestamps) > 1) SELECT video_id, i::INT AS i, (i * (n - 1) // 7)::INT AS inclusive, (i * n // 8)::INT AS exclusive FROM n",
     "hallucination_roll": f"WITH {ITEMS}, u AS (SELECT qa_id, ('0x' || substr(md5('11:' || qa_id), 1, 8))::UBIGINT / 4294967296.0 AS u FROM items) SELECT qa_id, CASE WHEN u < 0.05 THEN 'question' WHEN u < 0.15 THEN 'distractor' ELSE 'none' END AS roll FROM u",
