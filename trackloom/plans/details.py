@@ -187,7 +187,61 @@ def orders_kept(spark: SparkSession, d: str) -> DataFrame:
     return i.select("qa_id", F.when(good, "kept").when(F.col("realization_method") == "manual", "excepted").otherwise("dropped").alias("state"))
 
 
-QUERIES = {f.__name__: f for f in (event_details, bucket_classifiers, timeline_details, first_last_box, label_flags, duplicate_labels, trackable_objects, frame_stride, source_status, pool_analysis, modifier_pool, verified_split, sampling_report, video_overlap, format_sample, answer_baselines, model_report, selection_report, quality_order, orders_kept)}
+#: What tells an object from others of its label, best first: condition, confidence, words ({b}: the label). o_* are of the others; Spark and DuckDB read them alike.
+REF_EXPRS = [
+    ("h <> 'center' and o_same_h = 0", 0.90, "'the ' || {b} || ' on the ' || h"),
+    ("cx_spread >= width * 0.05 and is_left", 0.88, "'the leftmost ' || {b}"),
+    ("cx_spread >= width * 0.05 and is_right", 0.88, "'the rightmost ' || {b}"),
+    ("reappears and not o_reappears", 0.87, "'the ' || {b} || ' that reappears after being hidden'"),
+    ("occluded and not o_occluded", 0.86, "'the ' || {b} || ' that gets occluded'"),
+    ("o_min_first - first_frame >= 3", 0.85, "'the ' || {b} || ' that appears first'"),
+    ("exits and not o_exits", 0.85, "'the ' || {b} || ' that exits the frame'"),
+    ("enters and not o_enters", 0.84, "'the ' || {b} || ' that enters the frame'"),
+    ("first_frame - o_max_first >= 3", 0.83, "'the ' || {b} || ' that appears later'"),
+    ("area > 0 and area > o_max_area * 1.5", 0.82, "'the larger ' || {b}"),
+    ("area > 0 and area < o_min_area * 0.67", 0.82, "'the smaller ' || {b}"),
+    ("first_frame is not null and o_same_h = 0", 0.80, "'the ' || {b} || ' on the ' || h"),
+    ("first_frame < o_min_first_h", 0.75, "'the ' || {b} || ' on the ' || h || ' that appears first'"),
+]
+_EXPR = "CASE " + " ".join(f"WHEN {c} THEN {w.replace('{b}', 'bare')}" for c, _, w in REF_EXPRS) + " ELSE label END"
+_SURE = "CASE " + " ".join(f"WHEN {c} THEN {k}" for c, k, _ in REF_EXPRS) + " ELSE 0.0 END"
+REF_GATE = 0.5
+
+
+def _ref_exprs(spark: SparkSession, d: str) -> DataFrame:
+    """video_id, obj_id, expr, confidence of every object: unique labels have .95, of those that several objects share the best of REF_EXPRS, 0 if none holds."""
+    f = U.ref_expr_features(spark, d).select("video_id", "obj_id", "cx", "area", F.col("column").alias("h"))
+    first = _frames(spark, d).groupBy("video_id", "obj_id").agg(F.min(F.when(F.col("visible"), F.col("frame"))).alias("first_frame"), F.first("width").alias("width"))
+    has = lambda t: F.coalesce(F.max(F.col("type") == t), F.lit(False))
+    kinds = E.touching(_events(spark, d)).groupBy("video_id", "obj_id").agg(has("reappear").alias("reappears"), has("full_occlusion").alias("occluded"), has("exit_frame").alias("exits"), has("enter_frame").alias("enters"))
+    o = R.objects(_docs(spark, d)).select("video_id", "obj_id", "label", F.regexp_replace("label", r"\s*#[0-9]+$", "").alias("bare")).where("bare is not null")
+    flags = ["reappears", "occluded", "exits", "enters"]
+    a = o.join(first, ["video_id", "obj_id"], "left").join(f, ["video_id", "obj_id"], "left").join(kinds, ["video_id", "obj_id"], "left").na.fill(False, flags).withColumn("area", F.coalesce("area", F.lit(0)))
+    # a label is shared by few objects of a video
+    b = a.select("video_id", "bare", F.col("obj_id").alias("other"), *(F.col(c).alias(f"b_{c}") for c in ("h", "cx", "area", "first_frame", *flags)))
+    same = F.col("b_h") == F.col("h")
+    left = (F.col("b_cx") < F.col("cx")) | ((F.col("b_cx") == F.col("cx")) & (F.col("other") < F.col("obj_id")))
+    right = (F.col("b_cx") > F.col("cx")) | ((F.col("b_cx") == F.col("cx")) & (F.col("other") > F.col("obj_id")))
+    others = a.join(b, ["video_id", "bare"]).where("other <> obj_id").groupBy("video_id", "obj_id").agg(
+        F.count_if(same).alias("o_same_h"), F.max("b_area").alias("o_max_area"), F.min("b_area").alias("o_min_area"), F.min("b_first_frame").alias("o_min_first"), F.max("b_first_frame").alias("o_max_first"), F.min(F.when(same, F.col("b_first_frame"))).alias("o_min_first_h"),
+        F.greatest(F.max(F.col("b_cx")), F.first("cx")).alias("hi"), F.least(F.min("b_cx"), F.first("cx")).alias("lo"), (F.count_if(left) == 0).alias("no_left"), (F.count_if(right) == 0).alias("no_right"), *(F.max(f"b_{c}").alias(f"o_{c}") for c in flags),
+    )
+    j = a.join(others, ["video_id", "obj_id"], "left").withColumns({"cx_spread": F.col("hi") - F.col("lo"), "is_left": F.col("no_left") & F.col("cx").isNotNull(), "is_right": F.col("no_right") & F.col("cx").isNotNull()})
+    alone = F.col("o_same_h").isNull()
+    return j.select("video_id", "obj_id", F.when(alone, F.concat(F.lit("the "), F.col("bare"))).otherwise(F.expr(_EXPR)).alias("expr"), F.when(alone, 0.95).otherwise(F.expr(_SURE).cast("double")).alias("confidence"))
+
+
+def referring_expressions(spark: SparkSession, d: str) -> DataFrame:
+    return _ref_exprs(spark, d)
+
+
+def ref_gated_units(spark: SparkSession, d: str) -> DataFrame:
+    """Existence units whose subject can be told from the others, under the name that tells it; objects without a label keep none."""
+    u = U.unit_existence(spark, d).join(_ref_exprs(spark, d), ["video_id", "obj_id"], "left")
+    return u.where(F.coalesce(F.col("confidence") >= REF_GATE, F.lit(True))).select("video_id", "obj_id", "event_type", "polarity", F.col("expr").alias("subject"))
+
+
+QUERIES = {f.__name__: f for f in (referring_expressions, ref_gated_units, event_details, bucket_classifiers, timeline_details, first_last_box, label_flags, duplicate_labels, trackable_objects, frame_stride, source_status, pool_analysis, modifier_pool, verified_split, sampling_report, video_overlap, format_sample, answer_baselines, model_report, selection_report, quality_order, orders_kept)}
 
 
 def _cases(value: str, table: list[tuple[str, float | None, float]]) -> str:
@@ -227,3 +281,15 @@ SQL = {
     "quality_order": "WITH verdict_of AS (" + _EVENT_SQL["video_verdict"] + ") SELECT video_id, score, row_number() OVER (ORDER BY score DESC, video_id) - 1 AS place FROM verdict_of WHERE passed",
     "orders_kept": f"""WITH {ITEMS} SELECT qa_id, CASE WHEN coalesce(len(correct_order) = regexp_extract(format, '([0-9]+)$', 1)::INT AND len(list_distinct(correct_order)) = len(correct_order) AND len(list_filter(correct_order, lambda x: x NOT IN ('A', 'B', 'C', 'D'))) = 0, false) THEN 'kept' WHEN realization_method = 'manual' THEN 'excepted' ELSE 'dropped' END AS state FROM items WHERE format LIKE 'ordering%'""",
 }
+_REFS = f"""feat AS ({U.SQL["ref_expr_features"]}), base AS ({T.TOUCHING}, k AS (SELECT video_id, obj_id, bool_or(type = 'reappear') AS reappears, bool_or(type = 'full_occlusion') AS occluded, bool_or(type = 'exit_frame') AS exits, bool_or(type = 'enter_frame') AS enters FROM touching GROUP BY 1, 2),
+        v AS (SELECT video_id, obj_id, min(frame) FILTER (visible) AS first_frame, any_value(width) AS width FROM frames GROUP BY 1, 2)
+        SELECT o.video_id, o.o.obj_id AS obj_id, o.o.label AS label, regexp_replace(o.o.label, '\\s*#[0-9]+$', '') AS bare, v.first_frame, v.width, coalesce(reappears, false) AS reappears, coalesce(occluded, false) AS occluded, coalesce(exits, false) AS exits, coalesce(enters, false) AS enters
+        FROM objs o LEFT JOIN v ON v.video_id = o.video_id AND v.obj_id = o.o.obj_id LEFT JOIN k ON k.video_id = o.video_id AND k.obj_id = o.o.obj_id WHERE o.o.label IS NOT NULL),
+    a AS (SELECT b.*, f.cx, f."column" AS h, coalesce(f.area, 0) AS area FROM base b LEFT JOIN feat f USING (video_id, obj_id)),
+    n AS (SELECT x.video_id, x.obj_id, count(*) FILTER (y.h = x.h) AS o_same_h, max(y.area) AS o_max_area, min(y.area) AS o_min_area, min(y.first_frame) AS o_min_first, max(y.first_frame) AS o_max_first, min(y.first_frame) FILTER (y.h = x.h) AS o_min_first_h, greatest(max(y.cx), any_value(x.cx)) - least(min(y.cx), any_value(x.cx)) AS cx_spread,
+        count(*) FILTER (y.cx < x.cx OR (y.cx = x.cx AND y.obj_id < x.obj_id)) = 0 AS no_left, count(*) FILTER (y.cx > x.cx OR (y.cx = x.cx AND y.obj_id > x.obj_id)) = 0 AS no_right, bool_or(y.reappears) AS o_reappears, bool_or(y.occluded) AS o_occluded, bool_or(y.exits) AS o_exits, bool_or(y.enters) AS o_enters
+        FROM a x JOIN a y ON y.video_id = x.video_id AND y.bare = x.bare AND y.obj_id <> x.obj_id GROUP BY 1, 2),
+    j AS (SELECT a.*, n.* EXCLUDE (video_id, obj_id), no_left AND cx IS NOT NULL AS is_left, no_right AND cx IS NOT NULL AS is_right FROM a LEFT JOIN n USING (video_id, obj_id)),
+    refs AS (SELECT video_id, obj_id, CASE WHEN o_same_h IS NULL THEN 'the ' || bare ELSE {_EXPR} END AS expr, CASE WHEN o_same_h IS NULL THEN 0.95 ELSE {_SURE} END::DOUBLE AS confidence FROM j)"""
+SQL["referring_expressions"] = "WITH " + _REFS + " SELECT video_id, obj_id, expr, confidence FROM refs"
+SQL["ref_gated_units"] = "WITH " + _REFS + ", u AS (" + U.SQL["unit_existence"] + ") SELECT u.video_id, u.obj_id, event_type, polarity, expr AS subject FROM u LEFT JOIN refs USING (video_id, obj_id) WHERE coalesce(confidence >= 0.5, true)"
