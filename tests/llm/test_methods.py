@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.llm import abuse as A
 from trackloom.llm import mixing as M
@@ -107,10 +108,41 @@ def test_passages_are_scored_like_texts_of_their_own():
     assert len(short) == 3 and short[0][0] == pytest.approx(m.alone(["idiot"])[0], abs=1e-5)
 
 
+def test_every_reviewed_document_counts(spark):
+    documents = spark.range(14_000).selectExpr("id as doc_id", "concat('the cup moves to place ', id) as text")
+    reviews = documents.selectExpr("doc_id", "int(doc_id % 2) as offensive")
+    rows = A.reviewed(documents, reviews)
+    assert len(rows) == 14_000 and rows.rows.where("held").count() > 3000
+    assert rows.mark() == A.reviewed(documents.orderBy(F.desc("doc_id")), reviews).mark() != A.reviewed(documents.where("doc_id > 0"), reviews).mark()
+
+
+def test_machine_is_that_of_all_harmless_windows(spark):
+    bad, good = A.seed_sentences(times=1)
+    bad, texts = bad[:60], [f"{t} and then {u}" for t, u in zip(good, reversed(good))]
+    space = A.Space(bad, good[:10], 40)
+    table = lambda parts: spark.createDataFrame([(t, 1.0) for t in parts], "part string, weight double")
+    clean = spark.createDataFrame([(t,) for t in texts], "text string")
+    machine, negative, w = A.fit(space, A.featured(space, table(bad)), [A.featured(space, table(good[:10]))], clean)
+    held = {r["part"] for x in negative for r in x.collect()}
+    score, of, a, b = machine.passages(texts)
+    inside = [(texts[i][x:y], s) for s, i, x, y in zip(score, of, a, b) if s > A.INSIDE]
+    parts = [t for t, _ in inside]
+    assert len(held) > 40 and all(t in held or s > A.SLIP and parts.count(t) < 2 for t, s in inside)
+    # Newton steps summed over tasks, against the sum over all rows at once
+    x = (space.marks.kernel(bad + good) @ space.white).astype(np.float32)
+    rows = [(bytes(v.tobytes()), 1.0 if i < len(bad) else -1.0, 2.0) for i, v in enumerate(x)]
+    w = A.newton(space, spark.createDataFrame(rows, "x binary, y double, cost double").repartition(5))
+    x, y = np.c_[x, np.ones(len(x))].astype(float), np.array([r[1] for r in rows])
+    at = y * (x @ w) < 1
+    ridge = np.r_[np.ones(len(w) - 1), 1e-3]
+    assert ridge * w == pytest.approx(2.0 * x[at].T @ (y - x @ w)[at], abs=1e-6)
+
+
 def test_cutoffs():
     assert A.best_cutoff(np.array([2.0, 1.9, -1.0]), np.array([1, 1, 0])) >= A.CUTOFF
     score, verdict = np.r_[np.linspace(1, 2, 100), np.linspace(-2, 0, 300)], np.r_[np.ones(100), np.zeros(300)].astype(int)
     assert 0 <= A.best_cutoff(score, verdict) <= 1.05
+    assert A.best_cutoff(np.repeat(score, 3), np.repeat(verdict, 3)) == pytest.approx(A.best_cutoff(score, verdict, count=np.full(400, 3)))
     assert 0.1 < R.best_cutoff(np.array([0.9, 0.8, 0.1, 0.05]), np.array([1, 1, 0, 0])) < 0.8 and R.best_cutoff(np.array([0.3]), np.array([0])) == 0.5
 
 
