@@ -543,10 +543,10 @@ def hard_windows(machine: Machine, clean: DataFrame) -> DataFrame:
     return hard.where(~((F.col("score") > SLIP) & (F.col("n") < 2)))
 
 
-def fit(space: Space, positive: DataFrame, negative: list[DataFrame], clean: DataFrame, machine: Machine | None = None, w: np.ndarray | None = None) -> tuple[Machine, list[DataFrame], np.ndarray]:
+def fit(space: Space, positive: DataFrame, negative: list[DataFrame], clean: DataFrame | None, machine: Machine | None = None, w: np.ndarray | None = None) -> tuple[Machine, list[DataFrame], np.ndarray]:
     """The machine of the positive rows (as featured() gives them) and every window of the harmless texts, both classes of equal weight, its negative rows and its weights in the space.
 
-    negative: the working set so far, machine: what the first further rows are found with, by default that of the working set, w: weights to start from.
+    negative: the working set so far, machine: what the first further rows are found with, by default that of the working set, w: weights to start from. Without texts the machine is that of the rows given.
     A harmless window weighs as if those inside the margin at first were all of its class, or as one of the first working set where that is larger.
     """
     plus, minus = positive.agg(F.sum("weight")).first()[0], sum(x.agg(F.sum("weight")).first()[0] for x in negative)
@@ -573,6 +573,8 @@ def fit(space: Space, positive: DataFrame, negative: list[DataFrame], clean: Dat
             rows = rows.union(x.select("x", F.lit(-1.0), F.col("weight") * (0.5 * C / (size or minus))))
         w = newton(space, rows, w)
         machine = Machine(*space.fold(w[:-1]), float(w[-1]))
+        if clean is None:
+            return machine, negative, w
 
 
 def _offending(machine: Machine, dirty: DataFrame, common: DataFrame) -> DataFrame:
@@ -609,7 +611,8 @@ def train(rows: pd.DataFrame | Reviewed, most_negative: int = MOST_NEGATIVE) ->
     often, drawn = usual_windows(clean, most_negative // 4)
     pool = list(dict.fromkeys(often + drawn))
     space = Space(seeded, good + pool)
-    machine, negative, w = fit(space, featured(space, table(seeded)), [featured(space, table(good * 3 + pool))], clean)
+    # this one only proposes the first passages and landmarks; the machines of the rounds are those of all windows
+    machine, _, w = fit(space, featured(space, table(seeded)), [featured(space, table(good * 3 + pool))], None)
     machine.masked = _masks(list(dict.fromkeys(words)))
     for r in range(ROUNDS):
         found = _offending(machine, dirty, common)
@@ -620,7 +623,7 @@ def train(rows: pd.DataFrame | Reviewed, most_negative: int = MOST_NEGATIVE) ->
             drawn_too = [x["part"] for x in found.orderBy(F.xxhash64("part")).limit(3 * LANDMARKS).collect()]
             pool = list(dict.fromkeys(worst + pool))
             space = Space(seeded + drawn_too, good + pool)
-            negative, w = [featured(space, table(good * 3 + pool))], None
+            negative, w, machine = [featured(space, table(good * 3 + pool))], None, None
         positive = featured(space, table(seeded).union(found.select("part", "weight")))
         machine, negative, w = fit(space, positive, negative, clean, machine, w)
         machine.masked, machine.cutoff = _masks(list(dict.fromkeys(words))), CUTOFF
