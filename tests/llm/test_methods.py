@@ -138,6 +138,13 @@ def test_machine_is_that_of_all_harmless_windows(spark):
     assert ridge * w == pytest.approx(2.0 * x[at].T @ (y - x @ w)[at], abs=1e-6)
 
 
+def test_verdicts_in_error_make_no_passage_harmless(spark):
+    table = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    clean = table(["the cup moves"] * 1000 + ["hateful words"] * 3)
+    dirty = table(["the cup moves and hateful words"] * 100)
+    assert {r["pair"] for r in A._common(clean, dirty, 10.0).collect()} == {"the\tcup", "cup\tmoves"}
+
+
 def test_cutoffs():
     assert A.best_cutoff(np.array([2.0, 1.9, -1.0]), np.array([1, 1, 0])) >= A.CUTOFF
     score, verdict = np.r_[np.linspace(1, 2, 100), np.linspace(-2, 0, 300)], np.r_[np.ones(100), np.zeros(300)].astype(int)
