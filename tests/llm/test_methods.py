@@ -149,7 +149,9 @@ def test_cutoffs():
     assert A.best_cutoff(np.array([2.0, 1.9, -1.0]), np.array([1, 1, 0])) >= A.CUTOFF
     score, verdict = np.r_[np.linspace(1, 2, 100), np.linspace(-2, 0, 300)], np.r_[np.ones(100), np.zeros(300)].astype(int)
     assert 0 <= A.best_cutoff(score, verdict) <= 1.05
-    assert A.best_cutoff(np.repeat(score, 3), np.repeat(verdict, 3)) == pytest.approx(A.best_cutoff(score, verdict, count=np.full(400, 3)))
+    assert A.best_cutoff(score, verdict) == pytest.approx(A.best_cutoff(score, verdict, count=np.full(400, 3)))
+    mixed = np.array([2.0, 1.0, 0.0]), np.array([1, 0, 1])
+    assert A.best_cutoff(*mixed, count=np.array([900, 500, 30])) == 2 and A.best_cutoff(*mixed, count=np.array([30, 40, 900])) == 0
     assert 0.1 < R.best_cutoff(np.array([0.9, 0.8, 0.1, 0.05]), np.array([1, 1, 0, 0])) < 0.8 and R.best_cutoff(np.array([0.3]), np.array([0])) == 0.5
 
 

@@ -59,7 +59,7 @@ WINDOWS = [(3, 1), (5, 2), (8, 3)]
 #: Harmless windows that the working set starts from and landmarks are taken from; of the reviewed documents every HELD_OUT-th is held out for the cutoff.
 MOST_NEGATIVE = 9000
 HELD_OUT = 4
-#: Harmless windows that score above INSIDE cost something; those above NEAR join the working set with them, to spare passes. Those above SLIP that occur once, or far less often than in offensive documents, may be reviewers' slips.
+#: Harmless windows that score above INSIDE cost something; those above NEAR join the working set with them, to spare passes. Those above SLIP that occur once, and those far rarer than in offensive documents, may be reviewers' slips.
 #: What is TIMES as frequent in offensive documents as in harmless ones isn't harmless, however often reviewers erred.
 #: Passages of offensive documents below LEAST are far from anything offensive known: many harmless documents have such.
 INSIDE, NEAR, SLIP, LEAST, TIMES = -1.0, -1.2, 0.6, -0.3, 10
@@ -544,7 +544,7 @@ def hard_windows(machine: Machine, clean: DataFrame, dirty: DataFrame | None = N
     if dirty is not None:
         every = every.union(_each(dirty, run, "part string, score double").withColumn("bad", F.lit(1)))
     hard = every.groupBy("part").agg(F.count_if(F.col("bad") == 0).alias("n"), F.sum("bad").alias("m"), F.max("score").alias("score")).where("n > 0")
-    return hard.where(~((F.col("score") > SLIP) & ((F.col("n") < 2) | (F.col("n") * TIMES < F.col("m") * odds)))).drop("m")
+    return hard.where(~((F.col("score") > SLIP) & (F.col("n") < 2) | (F.col("n") * TIMES < F.col("m") * odds))).drop("m")
 
 
 def fit(space: Space, positive: DataFrame, negative: list[DataFrame], clean: DataFrame | None, machine: Machine | None = None, w: np.ndarray | None = None, dirty: DataFrame | None = None, odds: float = 0.0) -> tuple[Machine, list[DataFrame], np.ndarray]:
