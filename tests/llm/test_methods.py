@@ -1,6 +1,7 @@
 """Parts of the methods against brute force: min-hash recall, alignment, kernel, quotas and the cut of a mix."""
 
 import itertools
+import pickle
 import random
 
 import numpy as np
@@ -138,6 +139,22 @@ def test_machine_is_that_of_all_harmless_windows(spark):
     assert ridge * w == pytest.approx(2.0 * x[at].T @ (y - x @ w)[at], abs=1e-6)
 
 
+def test_training_broadcasts_nothing(spark, monkeypatch):
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda context, value: sent.append(len(value)) or broadcast(context, value))
+    words = ["".join(x) for x in np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyz"), (3000, 6))]
+    bad, good = ([" ".join(words[i : i + 5]) for i in range(k, k + 1500, 5)] for k in (0, 1500))
+    space = A.Space(bad, good, 600)
+    assert sum(x.nbytes for x in (space.white, space.marks.weight, space.marks.coordinates)) > 4 << 20
+    table = lambda parts: spark.createDataFrame([(t, 1.0) for t in parts], "part string, weight double")
+    machine, _, _ = A.fit(space, A.featured(space, table(bad[:40])), [A.featured(space, table(good[:40]))], None)
+    assert machine.coordinates.nbytes + machine.weights.nbytes > 1 << 20
+    hard = A.hard_windows(machine, spark.createDataFrame([(bad[0],), (bad[0],)], "text string")).collect()
+    assert hard and not sent
+    again = pickle.loads(pickle.dumps(machine))
+    assert again.score(bad[:50] + good[:50]) == pytest.approx(machine.score(bad[:50] + good[:50]))
+
+
 def test_verdicts_in_error_make_no_passage_harmless(spark):
     table = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
     clean = table(["the cup moves"] * 1000 + ["hateful words"] * 3)

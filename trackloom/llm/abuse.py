@@ -23,7 +23,8 @@ import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -66,8 +67,8 @@ INSIDE, NEAR, SLIP, LEAST, TIMES = -1.0, -1.2, 0.6, -0.3, 10
 ROUNDS = 2
 #: Weight of the machine's errors against its size; steps to a score in the counts that the cutoff is set from.
 C, STEPS = 50_000.0, 4096
-#: Texts that are turned into grams at once while training, so that the driver's memory stays small.
-BLOCK = 500
+#: Texts that are turned into grams at once while training, and that meet the landmarks at once, so that the driver's memory stays small.
+BLOCK, MEET = 500, 100
 #: Scores above it offend where too few documents are reviewed to set the cutoff, with the part of harmless ones that may lie above; the machine's margins are at -1 and 1.
 CUTOFF, CALM, LEAST_REVIEWED = 0.05, 0.01, 25
 
@@ -154,7 +155,7 @@ def _passages(point: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Machine:
-    """coordinates (rising) and their weights; see fold()."""
+    """coordinates (rising) and their weights; see fold(). made: the space and the weights in it that they come from; where it is known, tasks get this and fold it themselves."""
 
     coordinates: np.ndarray
     weights: np.ndarray
@@ -163,6 +164,7 @@ class Machine:
     cutoff: float = 0.0
     slots: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
     known: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+    made: tuple[Space, np.ndarray] | None = field(default=None, repr=False)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Weights by the first bits of the id, and eight further bits that tell a coordinate from others in its place."""
@@ -183,7 +185,12 @@ class Machine:
         return at, weight[slot[at]]
 
     def __getstate__(self):
-        return {**self.__dict__, "slots": None, "known": None}
+        return {**self.__dict__, "slots": None, "known": None} | ({"coordinates": None, "weights": None} if self.made else {})
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        if self.made:
+            self.coordinates, self.weights = self.made[0].fold(self.made[1])
 
     def clean(self, text: str) -> str:
         """normalise(), and words with starred letters as the offending word that they fit, where there is one."""
@@ -290,8 +297,8 @@ class Postings:
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Normalised kernel of texts with these (texts x these)."""
         out = np.zeros((len(texts), self.texts), np.float32)
-        for i in range(0, len(texts), BLOCK):
-            g, n = _grams(texts[i : i + BLOCK])
+        for i in range(0, len(texts), MEET):
+            g, n = _grams(texts[i : i + MEET])
             some = np.flatnonzero(self.there[g.ids >> (BITS - SLOT_BITS)])
             at = np.minimum(np.searchsorted(self.coordinates, g.ids[some]), len(self.coordinates) - 1)
             known = self.coordinates[at] == g.ids[some]
@@ -300,7 +307,7 @@ class Postings:
             count = self.count[at]
             place = np.arange(count.sum()) + np.repeat(self.first[at] - (np.cumsum(count) - count), count)
             flat = np.repeat(of * self.texts, count) + self.text[place]
-            out[i : i + BLOCK] = np.bincount(flat, weights=np.repeat(w, count) * self.weight[place], minlength=g.texts * self.texts).reshape(g.texts, self.texts)
+            out[i : i + MEET] = np.bincount(flat, weights=np.repeat(w, count) * self.weight[place], minlength=g.texts * self.texts).reshape(g.texts, self.texts)
         return out
 
 
@@ -321,20 +328,36 @@ def _spread(texts: list[str], n: int, seed: int) -> list[str]:
 
 
 class Space:
-    """The Nyström space of some landmarks: coordinates of texts, and weights folded back onto subsequences."""
+    """The Nyström space of some landmarks: coordinates of texts, and weights folded back onto subsequences.
+
+    Tasks get the texts of the landmarks and make the space of them, once a worker: as arrays it would be a broadcast, of which every executor writes a copy to its disk.
+    """
 
     def __init__(self, positive: list[str], negative: list[str], landmarks: int = LANDMARKS, seed: int = 3):
-        marks = _spread(positive, landmarks // 2, seed) + _spread(negative, landmarks // 2, seed)
+        self._make(_spread(positive, landmarks // 2, seed) + _spread(negative, landmarks // 2, seed))
+
+    def _make(self, marks: list[str]) -> None:
+        self.texts = tuple(marks)
         self.marks = Postings(marks)
         value, vector = np.linalg.eigh(self.marks.kernel(marks).astype(np.float64))
         self.white = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
 
+    def __reduce__(self):
+        return _space, (self.texts,)
+
     def fold(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Coordinates of the landmarks and the weight of each."""
         m = self.marks
         return m.coordinates, np.add.reduceat(m.weight * (self.white @ w)[m.text], m.first)
 
 
+@lru_cache(maxsize=1)
+def _space(texts: tuple[str, ...]) -> Space:
+    space = Space.__new__(Space)
+    space._make(list(texts))
+    return space
+
+
 def newton(space: Space, examples: DataFrame, w: np.ndarray | None = None, rounds: int = 25) -> np.ndarray:
     """Weights (bias last) in the space of the machine on all examples (x: their features; y: 1 or -1; cost): squared hinge loss by Newton steps from w."""
     n = len(space.white) + 1
@@ -576,7 +599,7 @@ def fit(space: Space, positive: DataFrame, negative: list[DataFrame], clean: Dat
         for x in negative:
             rows = rows.union(x.select("x", F.lit(-1.0), F.col("weight") * (0.5 * C / (size or minus))))
         w = newton(space, rows, w)
-        machine = Machine(*space.fold(w[:-1]), float(w[-1]))
+        machine = Machine(*space.fold(w[:-1]), float(w[-1]), made=(space, w[:-1]))
         if clean is None:
             return machine, negative, w
 
@@ -639,7 +662,7 @@ def train(rows: pd.DataFrame | Reviewed, most_negative: int = MOST_NEGATIVE) ->
         positive = featured(space, table(seeded).union(found.select("part", "weight")))
         machine, negative, w = fit(space, positive, negative, clean, machine, w, dirty, odds)
         machine.masked, machine.cutoff = _masks(list(dict.fromkeys(words))), CUTOFF
-    final = machine
+    machine = final = replace(machine, made=None)  # scoring needs no space
     at = F.pandas_udf(lambda texts: pd.Series(final.score(texts.tolist(), final.unmasked)), "double")
     held = every.where("held").select("verdict", F.floor(at("text") * STEPS).alias("step")).groupBy("verdict", "step").count().toPandas()
     if len(held):
