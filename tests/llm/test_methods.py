@@ -155,6 +155,13 @@ def test_training_broadcasts_nothing(spark, monkeypatch):
     assert again.score(bad[:50] + good[:50]) == pytest.approx(machine.score(bad[:50] + good[:50]))
 
 
+def test_sums_of_many_tasks_reach_the_driver_as_arrow(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(i),) for i in range(100)], "v double").repartition(20)
+    monkeypatch.setattr(type(rows), "collect", lambda self: pytest.fail("rows of sums are collected as Python objects"))
+    one = lambda v: np.outer([1.0, v, v * v], [1.0, v, v * v, 7.0])
+    assert np.array_equal(A._summed(rows, lambda f: sum(one(v) for v in f["v"]), 20), sum(one(float(i)) for i in range(100)))
+
+
 def test_verdicts_in_error_make_no_passage_harmless(spark):
     table = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
     clean = table(["the cup moves"] * 1000 + ["hateful words"] * 3)

@@ -68,7 +68,7 @@ ROUNDS = 2
 #: Weight of the machine's errors against its size; steps to a score in the counts that the cutoff is set from.
 C, STEPS = 50_000.0, 4096
 #: Texts that are turned into grams at once while training, and that meet the landmarks at once, so that the driver's memory stays small.
-BLOCK, MEET = 500, 100
+BLOCK, MEET = 500, 50
 #: Scores above it offend where too few documents are reviewed to set the cutoff, with the part of harmless ones that may lie above; the machine's margins are at -1 and 1.
 CUTOFF, CALM, LEAST_REVIEWED = 0.05, 0.01, 25
 
@@ -390,7 +390,7 @@ def _step(rows: pd.DataFrame, w: np.ndarray) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, of: Callable[[pd.DataFrame], np.ndarray], tasks: int) -> np.ndarray:
-    """Sum over all rows of square arrays with one further column, added up where the rows lie, then in some tasks, so that the driver gets few."""
+    """Sum over all rows of symmetric arrays with one further column, added up where the rows lie, then in some tasks, so that the driver gets few; sent without the lower half."""
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -398,7 +398,7 @@ def _summed(rows: DataFrame, of: Callable[[pd.DataFrame], np.ndarray], tasks: in
             if len(f):
                 total = of(f) if total is None else total + of(f)
         if total is not None:
-            yield pd.DataFrame({"sum": [total.tobytes()]})
+            yield pd.DataFrame({"sum": [total[~np.tri(*total.shape, -1, dtype=bool)].tobytes()]})
 
     def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -411,9 +411,11 @@ def _summed(rows: DataFrame, of: Callable[[pd.DataFrame], np.ndarray], tasks: in
     parts = rows.coalesce(tasks).mapInPandas(first, "sum binary")
     if tasks > 16:
         parts = parts.repartition(int(tasks**0.5)).mapInPandas(again, "sum binary")
-    total = sum(np.frombuffer(r["sum"]) for r in parts.collect())
-    n = int(len(total) ** 0.5)
-    return total.reshape(n, n + 1)
+    total = sum(np.frombuffer(b.as_buffer()) for b in parts.toArrow()["sum"])
+    n = int((2 * len(total) + 2.25) ** 0.5 - 1.5 + 0.5)
+    out = np.zeros((n, n + 1))
+    out[~np.tri(n, n + 1, -1, dtype=bool)] = total
+    return out + np.tril(np.c_[out[:, :-1].T, np.zeros(n)], -1)
 
 
 def featured(space: Space, parts: DataFrame) -> DataFrame:
